@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from geoloom.llm.exact_dedup import exact_dedup
 from geoloom.llm.line_dedup import line_dedup
+from geoloom.llm.packing import pack
 from geoloom.llm.simhash import near_duplicates
 from geoloom.llm.substring_dedup import substring_dedup
 
@@ -14,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_table(spark, sf_dir, "documents"), keep_text=False)
 
@@ -30,7 +35,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_substring_dedup, op9_simhash, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_line_dedup, op4_substring_dedup, op9_simhash, op10_exact_dedup)}
 
 ORACLES = {
     "op3_line_dedup": r"""
