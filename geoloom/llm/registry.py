@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from geoloom.llm.exact_dedup import exact_dedup
+from geoloom.llm.language_id import language_id
 from geoloom.llm.line_dedup import line_dedup
 from geoloom.llm.packing import pack
 from geoloom.llm.simhash import near_duplicates
@@ -27,6 +28,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"), keep_text=False)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -35,7 +40,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_line_dedup, op4_substring_dedup, op9_simhash, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_line_dedup, op4_substring_dedup, op8_language_id, op9_simhash, op10_exact_dedup)}
 
 ORACLES = {
     "op3_line_dedup": r"""
