@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from geoloom.llm.exact_dedup import exact_dedup
-from geoloom.llm.language_id import language_id
+from geoloom.llm.language_id import held_out, language_id
 from geoloom.llm.line_dedup import line_dedup
 from geoloom.llm.packing import pack
 from geoloom.llm.simhash import near_duplicates
 from geoloom.llm.substring_dedup import substring_dedup
+from geoloom.llm.toxicity import learn as learn_toxicity
+from geoloom.llm.toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +22,13 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    field = learn_toxicity(docs, _table(spark, sf_dir, "labels"))
+    scored = toxicity(docs.select("doc_id", "text", held_out().alias("held_out")), field, carry=("doc_id", "held_out"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_table(spark, sf_dir, "documents"), keep_text=False)
 
@@ -40,7 +49,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_line_dedup, op4_substring_dedup, op8_language_id, op9_simhash, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_line_dedup, op4_substring_dedup, op8_language_id, op9_simhash, op10_exact_dedup)}
 
 ORACLES = {
     "op3_line_dedup": r"""
