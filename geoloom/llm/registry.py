@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from geoloom.llm.decontaminate import contamination
 from geoloom.llm.exact_dedup import exact_dedup
 from geoloom.llm.language_id import held_out, language_id
 from geoloom.llm.line_dedup import line_dedup
@@ -37,6 +38,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"), keep_text=False)
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contaminated documents with the items that they hold."""
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).withColumnRenamed("row_key", "doc_id")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_table(spark, sf_dir, "documents"))
 
@@ -49,7 +55,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_line_dedup, op4_substring_dedup, op8_language_id, op9_simhash, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_line_dedup, op4_substring_dedup, op5_decontaminate, op8_language_id, op9_simhash, op10_exact_dedup)}
 
 ORACLES = {
     "op3_line_dedup": r"""
