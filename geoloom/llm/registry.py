@@ -9,6 +9,7 @@ from geoloom.llm.exact_dedup import exact_dedup
 from geoloom.llm.language_id import held_out, language_id
 from geoloom.llm.line_dedup import line_dedup
 from geoloom.llm.packing import pack
+from geoloom.llm.secret_scan import find_secrets, secret_digests
 from geoloom.llm.simhash import near_duplicates
 from geoloom.llm.substring_dedup import substring_dedup
 from geoloom.llm.toxicity import learn as learn_toxicity
@@ -43,6 +44,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).withColumnRenamed("row_key", "doc_id")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digests(find_secrets(_table(spark, sf_dir, "documents")))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_table(spark, sf_dir, "documents"))
 
@@ -55,7 +60,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_line_dedup, op4_substring_dedup, op5_decontaminate, op8_language_id, op9_simhash, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_line_dedup, op4_substring_dedup, op5_decontaminate, op6_secrets, op8_language_id, op9_simhash, op10_exact_dedup)}
 
 ORACLES = {
     "op3_line_dedup": r"""
