@@ -14,6 +14,7 @@ from geoloom.llm.simhash import near_duplicates
 from geoloom.llm.substring_dedup import substring_dedup
 from geoloom.llm.toxicity import learn as learn_toxicity
 from geoloom.llm.toxicity import toxicity
+from geoloom.llm.warc import round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +49,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(find_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_table(spark, sf_dir, "documents"))
 
@@ -60,7 +65,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_line_dedup, op4_substring_dedup, op5_decontaminate, op6_secrets, op8_language_id, op9_simhash, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_line_dedup, op4_substring_dedup, op5_decontaminate, op6_secrets, op7_warc, op8_language_id, op9_simhash, op10_exact_dedup)}
 
 ORACLES = {
     "op3_line_dedup": r"""
@@ -77,6 +82,19 @@ ORACLES = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM judged GROUP BY doc_id
     """,
+    "op7_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        d AS (SELECT page_id, body, octet_length(encode(body)) AS payload_bytes, CAST(CAST(unhex(sha1(body)) AS BIT) AS VARCHAR) AS bits FROM p),
+        w AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS best FROM d)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1
+                   + 16 * CAST(substr(bits, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INT)
+                   + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INT) + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INT)
+                   + CAST(substr(bits, 5 * i + 5, 1) AS INT) AS BIGINT), 1)), '') AS payload_digest,
+               CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> best THEN best END AS refers_to
+        FROM w
+    """,
     "op10_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, length(coalesce(text, '')) AS len, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
