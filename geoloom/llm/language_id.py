@@ -126,12 +126,11 @@ def learn(labelled: DataFrame, per_language: int = 1500, top: int = 300) -> Prof
     return Profiles(profiles, top)
 
 
-def _classify(shared):
+def _classify(shared, rest: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles: Profiles = shared.value
         for batch in batches:
             found = [profiles.classify(t) for t in batch.column(0).to_pylist()]
-            rest = batch.schema.names[1:]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*rest, "__lang_pred", "__score"])
 
     return run
@@ -144,10 +143,12 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", carry:
     or where no language was learnt.  Columns in ``carry`` pass through; others are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
-    src = docs.select(F.col(text_col).cast("string").alias("__text"), *(F.col(c).alias(f"__c_{c}") for c in carry))
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in src.schema.fields[1:])
-    out = src.mapInArrow(_classify(shared), f"{kinds}__lang_pred string, __score double")
-    return out.select(*(F.col(f"__c_{c}").alias(c) for c in carry), F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"))
+    where = {c: "__text" if c == text_col else f"__c_{c}" for c in carry}
+    src = docs.select(F.col(text_col).cast("string").alias("__text"), *(F.col(c).alias(x) for c, x in where.items() if x != "__text"))
+    kept = src.schema.fields if text_col in carry else src.schema.fields[1:]
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
+    out = src.mapInArrow(_classify(shared, [f.name for f in kept]), f"{kinds}__lang_pred string, __score double")
+    return out.select(*(F.col(x).alias(c) for c, x in where.items()), F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"))
 
 
 def held_out(id_col: str = "doc_id"):
@@ -158,5 +159,5 @@ def held_out(id_col: str = "doc_id"):
 def language_id(docs: DataFrame, per_language: int = 1500, top: int = 300, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(*carry, held_out, lang_pred, score): learnt from the rows of ``docs`` that are not held out, applied to all."""
     profiles = learn(docs.where(~held_out()).select("doc_id", "lang", "text"), per_language, top)
-    out = identify(docs.select("text", *carry, held_out().alias("__held_out")), profiles, "text", (*carry, "__held_out"))
+    out = identify(docs.select(*dict.fromkeys(("text", *carry)), held_out().alias("__held_out")), profiles, "text", (*carry, "__held_out"))
     return out.select(*carry, F.col("__held_out").alias("held_out"), "lang_pred", "score")

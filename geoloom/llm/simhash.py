@@ -135,6 +135,13 @@ def links(distinct: DataFrame, most: int = 3) -> DataFrame:
     return left.hint("merge").join(right.hint("merge"), (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 
 
+def groups(fps: DataFrame, most: int = 3) -> DataFrame:
+    """(fp, root) for every distinct fingerprint of ``fps``; linked fingerprints share the smallest as their root."""
+    distinct = materialize(fps.select("fp").distinct(), "distinct-fingerprints")
+    roots = connected_components(links(distinct, most))
+    return materialize(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root")), "fingerprint-groups")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every input row.
 
@@ -145,10 +152,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty table gives an empty result; other columns are ignored.
     """
     fps = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct-fingerprints")
-    roots = connected_components(links(distinct, most))
-    member = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    member = materialize(member, "members")
-    lowest = member.groupBy("root").agg(F.min("low").alias("component_id"))
+    member = groups(fps, most)
+    lows = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    lowest = member.join(lows, "fp").groupBy("root").agg(F.min("low").alias("component_id"))
     byfp = member.join(lowest, "root").select("fp", "component_id")
     return fps.join(byfp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 3) -> DataFrame:
+    """The input rows, all columns, without near duplicates: of each component the row with the smallest id stays.
+
+    Null ids come last, and rows that tie are told apart by an arbitrary row number, so
+    exactly one row of a component stays.
+    """
+    names = docs.columns
+    src = docs.select(F.col(text_col).cast("string").alias("__text"), *(F.col(c).alias(f"__c_{c}") for c in names if c != text_col), F.monotonically_increasing_id().alias("__row"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields)
+    staged = materialize(src.mapInArrow(_with_fingerprint, f"{kinds}, fp long"), "fingerprinted")
+    place = F.struct(F.col(f"__c_{id_col}").isNull().alias("none"), F.col(f"__c_{id_col}").alias("id"), F.col("__row").alias("row"))
+    best = staged.groupBy("fp").agg(F.min(place).alias("best"))
+    stays = groups(staged, most).join(best, "fp").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("__row"))
+    kept = staged.join(stays, "__row", "left_semi")
+    return kept.select(*(F.col("__text" if c == text_col else f"__c_{c}").alias(c) for c in names))
+
+
+def _with_fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = [fingerprint(t) for t in as_bytes(batch.column(0))]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(out, dtype=np.uint64).view(np.int64))], names=[*batch.schema.names, "fp"])
