@@ -42,6 +42,24 @@ def radius_to_bbox(lat: Column, lon: Column, radius_km: Column) -> tuple[Column,
     return lon - dlon, lat - dlat, lon + dlon, lat + dlat
 
 
+def circle_boxes(lat: Column, lon: Column, radius_km: Column) -> Column:
+    """An array of boxes (xmin, ymin, xmax, ymax) that surely hold a circle: two if it meets the antimeridian, all longitudes near a pole.
+
+    No two of them overlap but at their edges.
+    """
+    dlat = radius_km / KM_PER_DEGREE
+    top = F.abs(lat) + dlat
+    dlon = F.when(top < 89.0, dlat / F.cos(F.radians(F.least(top, F.lit(89.0))))).otherwise(F.lit(360.0))
+    box = lambda a, b: F.struct(a.alias("xmin"), (lat - dlat).alias("ymin"), b.alias("xmax"), (lat + dlat).alias("ymax"))
+    west, east = lon - dlon, lon + dlon
+    return (
+        F.when(dlon >= 180.0, F.array(box(F.lit(-180.0), F.lit(180.0))))
+        .when(west < -180.0, F.array(box(F.lit(-180.0), east), box(west + 360.0, F.lit(180.0))))
+        .when(east > 180.0, F.array(box(west, F.lit(180.0)), box(F.lit(-180.0), east - 360.0)))
+        .otherwise(F.array(box(west, east)))
+    )
+
+
 def in_bbox(lat: Column, lon: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
     """Whether a point lies in a box, edges included."""
     return (xmin <= lon) & (xmax >= lon) & (ymin <= lat) & (ymax >= lat)

@@ -21,7 +21,7 @@ from geoloom.sources.readers import non_empty, parsed_response, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-SPLIT_BYTES = 6000
+SPLIT_BYTES = 4000
 
 
 def query(sql: str | None = None):
@@ -533,7 +533,6 @@ def address_format(spark, sf_dir):
     k AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY round(km, 9), gers_id) AS rank FROM d WHERE km <= 300)
     SELECT point_id, gers_id, round(km, 6) AS distance_km, rank FROM k WHERE rank <= 5""")
 def nearby_radius_topk(spark, sf_dir):
-    # boxes do not wrap around the antimeridian; these points keep away from it
     f = places(spark, sf_dir).select("gers_id", "lat", "lon", F.col("subtype").alias("category"))
     return nearby(points(spark, sf_dir).drop("country"), f, 300.0, 5, "locality").select("point_id", "gers_id", r6("distance_km"), "rank")
 
