@@ -41,7 +41,7 @@ def combinations(lengths: list[int], window: int) -> list[tuple[int, ...]]:
     return pairs + triples
 
 
-def nnls(columns: list[tuple[int, ...]], target: dict[int, int], sweeps: int = 12) -> list[float]:
+def nnls(columns: list[tuple[int, ...]], target: dict[int, int], sweeps: int = 12, tolerance: float = 0.25) -> list[float]:
     """Coordinate descent for ``min |A x - target|, x >= 0``; a column lists its lengths, repeats included."""
     left = {k: float(v) for k, v in target.items()}
     weights = [{a: c.count(a) for a in c} for c in columns]
@@ -60,7 +60,7 @@ def nnls(columns: list[tuple[int, ...]], target: dict[int, int], sweeps: int = 1
                 for a, m in w.items():
                     left[a] -= m * step
                 moved = max(moved, abs(step))
-        if moved < 0.25:
+        if moved < tolerance:
             break
     return x
 

@@ -202,6 +202,8 @@ def choose_cues(texts: list[bytes], toxic: np.ndarray, least: int = 4, lift: flo
 def train(texts: list[bytes], toxic: np.ndarray, rounds: int = 120, penalty: float = 0.02) -> Field:
     """Fit a field to lowered texts with document labels, by Adam on the penalised conditional likelihood."""
     field = Field(choose_cues(texts, toxic))
+    if not texts:
+        return field
     counts, owner, place, found = [], [], [], []
     for a, b in chunks(texts):
         c, o, p, f, _ = field.locate(texts[a:b])
