@@ -14,8 +14,23 @@ def shared_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DEFAULT).rstrip("/")
 
 
+def application_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one."""
+    return f"{shared_dir(spark)}/geoloom-{spark.sparkContext.applicationId}"
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{application_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Delete all tables that this application has staged; results not yet computed or written can then no longer be read."""
+    _delete(spark, application_dir(spark))
 
 
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -29,14 +44,10 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 def drop(*frames: DataFrame) -> None:
     """Delete tables that :func:`materialize` wrote, once nothing lazy reads them any more."""
     for df in frames:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        root = shared_dir(spark)
+        mark = f"/geoloom-{df.sparkSession.sparkContext.applicationId}/"
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if root.split(":")[-1].lstrip("/") in folder:
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(conf).delete(path, True)
+            if mark in folder:
+                _delete(df.sparkSession, folder)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
