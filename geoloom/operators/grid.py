@@ -1,9 +1,10 @@
-"""Points in boxes, and boxes near points, by a hierarchical grid equi-join.
+"""Points in boxes, and boxes near points, by an equi-join on grid cells of three sizes.
 
-A box goes to the level whose cells are at least as large as its longer side, where it meets at most
-four cells (three by three for the coarsest rounding); a point goes to its one cell on every level
-that the boxes use.  The join is an equality on (level, cell) with the exact test as residual, so
-Spark can shuffle or broadcast it and split hot cells, instead of comparing all pairs.
+A box goes to the finest of three grids on which it is at most ``REACH`` cells wide and high, and there to every cell
+that it meets; a point goes to its one cell on each grid.  So a point becomes three rows however many boxes
+there are, a box at most ``(REACH + 1) ** 2`` rows, and cells are never much larger than the boxes in them.  The join
+is an equality on (level, cell) with the exact test as residual: Spark can shuffle or broadcast it and split hot cells,
+instead of comparing all pairs.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LEVELS = tuple(range(-7, 10))  # cell sides 2**-7 (under a kilometre) to 512 degrees
+LEVELS = (-4, 0, 5)  # cells of 1/16, 1 and 32 degrees
+REACH = 16
 
 
 def _cell(lon: Column, lat: Column, level: Column) -> tuple[Column, Column]:
@@ -22,17 +24,17 @@ def _cell(lon: Column, lat: Column, level: Column) -> tuple[Column, Column]:
 def box_cells(boxes: DataFrame, xmin: str = "xmin", ymin: str = "ymin", xmax: str = "xmax", ymax: str = "ymax") -> DataFrame:
     """Each box once for every cell that it meets on its level; columns g_level, g_x, g_y are added.  Boxes with a null or inverted side meet none."""
     side = F.greatest(F.col(xmax) - F.col(xmin), F.col(ymax) - F.col(ymin))
-    level = F.least(F.lit(LEVELS[-1]), F.greatest(F.lit(LEVELS[0]), F.ceil(F.log2(F.greatest(side, F.lit(2.0 ** LEVELS[0])))))).cast("int")
+    level = F.when(side <= REACH * 2.0 ** LEVELS[0], LEVELS[0]).when(side <= REACH * 2.0 ** LEVELS[1], LEVELS[1]).otherwise(LEVELS[2])
     real = boxes.where((F.col(xmin) <= F.col(xmax)) & (F.col(ymin) <= F.col(ymax))).withColumn("g_level", level)
     x0, y0 = _cell(F.col(xmin), F.col(ymin), F.col("g_level"))
     x1, y1 = _cell(F.col(xmax), F.col(ymax), F.col("g_level"))
     return real.withColumn("g_x", F.explode(F.sequence(x0, x1))).withColumn("g_y", F.explode(F.sequence(y0, y1)))
 
 
-def point_cells(points: DataFrame, lat: str = "lat", lon: str = "lon", levels: tuple[int, ...] = LEVELS) -> DataFrame:
-    """Each point once for every level; a point with a null coordinate goes nowhere."""
+def point_cells(points: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """Each point once for every grid; a point with a null coordinate goes nowhere."""
     x, y = _cell(F.col(lon), F.col(lat), F.col("g_level"))
-    every = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).withColumn("g_level", F.explode(F.array(*map(F.lit, levels))))
+    every = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).withColumn("g_level", F.explode(F.array(*map(F.lit, LEVELS))))
     return every.withColumn("g_x", x).withColumn("g_y", y)
 
 
