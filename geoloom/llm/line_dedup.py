@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.llm.bloom import SCHEMA, bitmap_builder, collect_bitmap, contains
+from geoloom.llm.staging import materialize
 from geoloom.llm.textkit import as_bytes
 
 BITS = 1 << 27
@@ -115,6 +116,7 @@ def repeated_keys(docs: DataFrame, min_chars: int, bits: int) -> DataFrame:
     found = docs.select("doc_id", "body", "text").mapInArrow(_suspects(shared, min_chars), "k1 long, k2 long, doc_id long, body long")
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
     first = found.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("k1", "k2", "first")
+    first = materialize(first, "first-lines")  # as a table of its own the join below has two exchanges, and Spark can split a hot line
     return found.join(first, ["k1", "k2"]).where(place != F.col("first")).select("doc_id", "body", "k1", "k2")
 
 
