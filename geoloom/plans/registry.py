@@ -704,3 +704,48 @@ def query_tokens(spark, sf_dir):
     df = spark.createDataFrame([(1, "Boston MA"), (2, "St. Louis"), (3, "...")], "query_id long, text string")
     return df.select("query_id", F.explode(fts_tokens(F.col("text"))).alias("t")).select("query_id", F.col("t.text").alias("token"), "t.prefix")
 
+
+@query(f"""{SHARDS_SQL}, pairs AS (
+        SELECT shard_id, 'type' AS key, CASE WHEN shard_id = 'HEAD' THEN 'head' WHEN contains(shard_id, '-') THEN 'region' ELSE 'country' END AS value FROM stats
+        UNION ALL SELECT shard_id, 'record_count', CAST(record_count AS VARCHAR) FROM stats UNION ALL SELECT shard_id, 'version', '2025-01-01.0' FROM stats
+        UNION ALL SELECT shard_id, 'country', string_split(shard_id, '-')[1] FROM stats WHERE shard_id <> 'HEAD'
+        UNION ALL SELECT shard_id, 'region', shard_id FROM stats WHERE shard_id <> 'HEAD' AND contains(shard_id, '-')
+        UNION ALL SELECT shard_id, 'population_threshold', '500000' FROM stats WHERE shard_id = 'HEAD')
+    SELECT * FROM pairs""")
+def shard_metadata(spark, sf_dir):
+    stats = shards.shard_stats(_assigned(spark, sf_dir), size())
+    return catalog.shard_metadata(stats, "2025-01-01.0", 500_000).where("key <> 'created_at'")
+
+
+@query(f"""{SHARDS_SQL} SELECT shard_id, CASE WHEN shard_id <> 'HEAD' AND contains(shard_id, '-') THEN shard_id END AS value FROM stats""")
+def metadata_get(spark, sf_dir):
+    stats = shards.shard_stats(_assigned(spark, sf_dir), size())
+    return catalog.metadata_of(catalog.shard_metadata(stats, "v"), stats, "region")
+
+
+@query("SELECT count(*) AS n, count(*) > 0 AS accessible, '2025-04-01.0' AS release, '2025-03-01.0' AS published, true AS newer FROM part")
+def release_compare(spark, sf_dir):
+    links = spark.createDataFrame(LINKS, "rel string, href string, latest boolean")
+    return catalog.release_status(read_table(spark, sf_dir, "part"), links, "2025-04-01.0")
+
+
+@query(f"WITH {PLACES_SQL} SELECT gers_id FROM places WHERE xmin <= 30 AND xmax >= -20 AND ymin <= 50 AND ymax >= 10")
+def box_scan(spark, sf_dir):
+    from geoloom.sources.readers import in_box
+
+    boxed = places(spark, sf_dir).withColumn("bbox", F.struct("xmin", "ymin", "xmax", "ymax"))
+    return in_box(boxed, -20.0, 10.0, 30.0, 50.0).select("gers_id")
+
+
+@query(f"WITH {PLACES_SQL} SELECT gers_id, name FROM places WHERE key IN (SELECT s_suppkey FROM supplier)")
+def features_by_id(spark, sf_dir):
+    from geoloom.sources.readers import by_id
+
+    ids = read_table(spark, sf_dir, "supplier").select(F.concat(F.lit("p"), F.lpad(F.col("s_suppkey").cast("string"), 12, "0")).alias("gers_id"))
+    return by_id(places(spark, sf_dir), ids).select("gers_id", "name")
+
+
+@query(f"""{SEARCH_SQL} SELECT query_id, rank, name || ' (' || subtype || ', ' || coalesce(country, '??') || ')' AS shown FROM ranked WHERE rank <= 10""")
+def text_output(spark, sf_dir):
+    lines = output.text_lines(_searched(spark, sf_dir).withColumnRenamed("subtype", "type"))
+    return lines.select("query_id", "rank", F.regexp_extract("line", r"^\d+\. (.* \(.*\)) \[", 1).alias("shown"))

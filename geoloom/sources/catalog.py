@@ -48,6 +48,36 @@ def with_legacy(embedded: DataFrame, legacy: DataFrame) -> DataFrame:
     return embedded.unionByName(legacy.join(embedded.select("shard_id"), "shard_id", "left_anti"), allowMissingColumns=True)
 
 
+def shard_metadata(stats: DataFrame, version: str, threshold: int | None = None, now: datetime | None = None) -> DataFrame:
+    """(shard_id, key, value): version, type, record_count, created_at, the country or region, and HEAD's population threshold."""
+    made = (now or datetime.now(UTC)).isoformat()
+    sid, is_head = F.col("shard_id"), F.col("shard_id") == "HEAD"
+    pairs = {
+        "version": F.lit(version),
+        "record_count": F.col("record_count").cast("string"),
+        "created_at": F.lit(made),
+        "type": F.when(is_head, "head").when(F.contains(sid, F.lit("-")), "region").otherwise("country"),
+        "country": F.when(~is_head, F.split(sid, "-")[0]),
+        "region": F.when(~is_head & F.contains(sid, F.lit("-")), sid),
+        "population_threshold": F.when(is_head, F.lit(None if threshold is None else str(threshold)).cast("string")),
+    }
+    entries = F.explode(F.array(*(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in pairs.items())))
+    return stats.select("shard_id", entries.alias("e")).select("shard_id", "e.key", "e.value").where("value IS NOT NULL")
+
+
+def metadata_of(metadata: DataFrame, shards: DataFrame, key: str) -> DataFrame:
+    """(shard_id, value) for each shard asked for; null where it has no such key."""
+    return shards.select("shard_id").join(metadata.where(F.col("key") == key).select("shard_id", "value"), "shard_id", "left")
+
+
+def release_status(table: DataFrame, links: DataFrame, release: str) -> DataFrame:
+    """One row: rows of the release's table, whether there are any, and whether the release is newer than the latest published version."""
+    latest = latest_version(links).agg(F.max("version").alias("published"))
+    counts = table.agg(F.count(F.lit(1)).alias("n"))
+    fresh = F.coalesce(F.lit(release) > F.col("published"), F.lit(True))
+    return counts.withColumn("one", F.lit(1)).join(latest.withColumn("one", F.lit(1)), "one").select("n", (F.col("n") > 0).alias("accessible"), F.lit(release).alias("release"), "published", fresh.alias("newer"))
+
+
 def build_version(now: datetime | None = None) -> str:
     return f"{now or datetime.now(UTC):%Y-%m-%d}.0"
 
