@@ -172,8 +172,26 @@ class Field:
         return 1 / (1 + np.exp(-(self.curve[0] + self.curve[1] * np.clip(evidence, -12, 12))))
 
 
-def choose_cues(texts: list[bytes], toxic: np.ndarray, least: int = 4, lift: float = 6.0, most: int = 4000) -> np.ndarray:
-    """Features found in at least ``least`` toxic texts, ``lift`` times as often as elsewhere and beyond chance; the ``most`` best."""
+def distinct_texts(texts: list[bytes], bands: int = 4, rows: int = 2) -> np.ndarray:
+    """Indices of the texts without near copies of earlier ones, by min-hashes of word pairs; else a text copied often makes all its words cues."""
+    keep, seen = [], set()
+    for i, t in enumerate(texts):
+        buf, starts, ends, _ = word_bounds([t], _separators())
+        h = word_hashes(buf, starts, ends)
+        pairs = mix64(h[:-1] * np.uint64(3) + h[1:]) if len(h) > 1 else h
+        least = [int(mix64(pairs + np.uint64(k + 1)).min()) if len(pairs) else 0 for k in range(bands * rows)]
+        keys = {(k, *least[k * rows : (k + 1) * rows]) for k in range(bands)}
+        if not keys & seen:
+            keep.append(i)
+        seen |= keys
+    return np.array(keep, dtype=np.int64)
+
+
+def choose_cues(texts: list[bytes], toxic: np.ndarray, least: int = 4, lift: float = 6.0, chance: float = 0.01, most: int = 4000) -> np.ndarray:
+    """Features found in at least ``least`` toxic texts and ``lift`` times as often as elsewhere, by far more than chance; the ``most`` best.
+
+    The log-likelihood ratio must be so large that ``chance`` such features are expected among all features by chance.
+    """
     seen: list[np.ndarray] = []
     for y in (1, 0):
         rows = [x for x, t in zip(texts, toxic, strict=True) if t == y]
@@ -182,8 +200,12 @@ def choose_cues(texts: list[bytes], toxic: np.ndarray, least: int = 4, lift: flo
             _, _, counts, features = token_features(rows[a:b])
             owner = np.repeat(np.arange(b - a), counts)
             for f in features:
-                pairs = np.unique(np.stack([owner[f != 0].astype(np.uint64), f[f != 0]]), axis=1) if len(owner) else np.empty((2, 0), dtype=np.uint64)
-                found.append(pairs[1])
+                has = f != 0
+                order = np.lexsort((f[has], owner[has]))
+                o, x = owner[has][order], f[has][order]
+                first = np.ones(len(o), dtype=bool)
+                first[1:] = (o[1:] != o[:-1]) | (x[1:] != x[:-1])
+                found.append(x[first])
         seen.append(np.concatenate(found) if found else np.empty(0, dtype=np.uint64))
     n1, n0 = max(1, int(toxic.sum())), max(1, int((toxic == 0).sum()))
     f, k1 = np.unique(seen[0], return_counts=True)
@@ -192,15 +214,18 @@ def choose_cues(texts: list[bytes], toxic: np.ndarray, least: int = 4, lift: flo
     if len(g):
         at = np.minimum(np.searchsorted(g, f), len(g) - 1)
         k0 = np.where(g[at] == f, c0[at], 0)
-    p1, p0 = k1 / n1, (k0 + 0.5) / n0
-    spread = np.sqrt(np.maximum(1 / k1 - 1 / n1 + 1 / (k0 + 0.5) - 1 / n0, 1e-9))
-    good = (k1 >= least) & (p1 >= lift * p0) & (np.log(p1 / p0) >= 2.5 * spread)
-    best = np.argsort(-(np.log(p1 / p0) * np.sqrt(k1))[good], kind="stable")[:most]
+    part = lambda k, n, p: np.where(k > 0, k * np.log(np.maximum(k, 1) / n / p), 0.0) + np.where(k < n, (n - k) * np.log(np.maximum(n - k, 1e-9) / n / np.maximum(1 - p, 1e-12)), 0.0)
+    both = (k1 + k0) / (n1 + n0)
+    ratio = 2 * (part(k1, n1, both) + part(k0, n0, both))
+    good = (k1 >= least) & (k1 / n1 >= lift * (k0 + 0.5) / n0) & (ratio >= 2 * np.log(max(2, len(f) + len(g)) / chance))
+    best = np.argsort(-ratio[good], kind="stable")[:most]
     return f[good][best]
 
 
 def train(texts: list[bytes], toxic: np.ndarray, rounds: int = 120, penalty: float = 0.02) -> Field:
     """Fit a field to lowered texts with document labels, by Adam on the penalised conditional likelihood."""
+    keep = distinct_texts(texts)
+    texts, toxic = [texts[i] for i in keep], toxic[keep]
     field = Field(choose_cues(texts, toxic))
     if not texts:
         return field
