@@ -38,7 +38,9 @@ class TextIndex:
         where = F.col(shard) if shard else F.lit("ALL")
         lists = docs.select(where.alias("shard_id"), F.col(doc).alias("doc_id"), F.coalesce(index_terms(F.col(text)), F.array().cast("array<string>")).alias("terms"))
         shards = lists.groupBy("shard_id").agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("terms")).alias("mean_length"))
-        words = lists.select("shard_id", "doc_id", F.size("terms").alias("doc_len"), F.posexplode("terms").alias("position", "term"))
+        # the length first: else every exploded row would carry the whole array
+        sized = lists.select("shard_id", "doc_id", F.size("terms").alias("doc_len"), "terms")
+        words = sized.select("shard_id", "doc_id", "doc_len", F.posexplode("terms").alias("position", "term"))
         if stem:
             words = stemmed(words, "term")
         return cls(words, shards, stem)
@@ -83,14 +85,17 @@ def match(queries: DataFrame, index: TextIndex, prefixes: bool = True) -> DataFr
     if prefixes:
         wanted = exact.unionByName(expanded)
 
-    hits = index.postings.join(wanted, "term").withColumn("begin", F.col("position") - F.col("part"))
-    whole = hits.groupBy("query_id", "token", "tokens", "parts", "shard_id", "doc_id", "doc_len", "begin").agg(F.count(F.lit(1)).alias("found")).where("found = parts")
-    counted = whole.groupBy("query_id", "token", "tokens", "shard_id", "doc_id", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
-    spread = counted.groupBy("query_id", "token", "shard_id").agg(F.count(F.lit(1)).alias("with_term"))
-    scored = counted.join(spread, ["query_id", "token", "shard_id"]).join(index.shards, "shard_id")
-    part = bm25_part(F.col("tf"), F.col("docs"), F.col("with_term"), F.col("doc_len"), F.col("mean_length"))
-    totals = scored.groupBy("query_id", "shard_id", "doc_id", "tokens").agg(F.sum(part).alias("bm25"), F.count(F.lit(1)).alias("n"))
-    return totals.where("n = tokens").select("query_id", "shard_id", "doc_id", "bm25")
+    hits = index.postings.join(wanted, "term").select("query_id", "shard_id", "doc_id", "token", "tokens", "parts", "doc_len", (F.col("position") - F.col("part")).alias("begin"))
+    # one shuffle serves the phrase, token and document counts below, and both uses of `counted`
+    hits = hits.repartition("query_id", "shard_id", "doc_id")
+    whole = hits.groupBy("query_id", "shard_id", "doc_id", "token", "tokens", "parts", "doc_len", "begin").agg(F.count(F.lit(1)).alias("found")).where("found = parts")
+    counted = whole.groupBy("query_id", "shard_id", "doc_id", "token", "tokens", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
+
+    spread = counted.groupBy("query_id", "shard_id", "token").agg(F.count_if(F.col("tf") > 0).alias("with_term"))
+    known = spread.groupBy("query_id", "shard_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "with_term"))).alias("with_terms")).join(index.shards, "shard_id")
+    docs = counted.groupBy("query_id", "shard_id", "doc_id", "tokens", "doc_len").agg(F.collect_list(F.struct("token", "tf")).alias("found")).where(F.size("found") == F.col("tokens"))
+    part = lambda x: bm25_part(x["tf"], F.col("docs"), F.element_at("with_terms", x["token"]), F.col("doc_len"), F.col("mean_length"))
+    return docs.join(known, ["query_id", "shard_id"]).select("query_id", "shard_id", "doc_id", F.aggregate("found", F.lit(0.0), lambda acc, x: acc + part(x)).alias("bm25"))
 
 
 def search_text(queries: DataFrame, index: TextIndex, limit: Column | int = 10, prefixes: bool = True) -> DataFrame:

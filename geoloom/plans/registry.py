@@ -126,13 +126,13 @@ BENCH_SQL = r"bench AS (SELECT item_id AS query_id, array_to_string(list_slice(r
 
 
 @query(f"""
-    WITH {BENCH_SQL}, corpus AS (SELECT 'ALL' AS shard_id, doc_id, text FROM documents), {bm25_sql('corpus', 'bench')},
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9), doc_id) AS rank FROM hits)
-    SELECT query_id, doc_id, round(bm25, 6) AS bm25, rank FROM ranked WHERE rank <= 10""")
+    WITH {BENCH_SQL}, corpus AS (SELECT lang AS shard_id, doc_id, text FROM documents), {bm25_sql('corpus', 'bench')},
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, shard_id ORDER BY round(bm25, 9), doc_id) AS rank FROM hits)
+    SELECT query_id, shard_id, doc_id, round(bm25, 6) AS bm25, rank FROM ranked WHERE rank <= 10""")
 def fts_bm25_topk(spark, sf_dir):
     q = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 2), " ").alias("text"), F.lit(False).alias("autocomplete"))
-    index = TextIndex.build(read_table(spark, sf_dir, "documents"), "text", "doc_id", None)
-    return search_text(q, index, 10, prefixes=False).select("query_id", "doc_id", r6("bm25"), "rank")
+    index = TextIndex.build(read_table(spark, sf_dir, "documents"), "text", "doc_id", "lang")  # a shard for each language
+    return search_text(q, index, 10, prefixes=False).select("query_id", "shard_id", "doc_id", r6("bm25"), "rank")
 
 
 PREFIXES = [(1, "sm", True), (2, "red w", True), (3, "blue", False), (4, "hot gea", True), (5, "zz", True)]
