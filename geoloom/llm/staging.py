@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_DEFAULT = "file:///tmp/checkpoints/geoloom"
+_MADE: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,7 +21,15 @@ def application_dir(spark: SparkSession) -> str:
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
-    return f"{application_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's folder, which goes when the application ends."""
+    root = application_dir(spark)
+    if root not in _MADE:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _MADE.add(root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
 def _delete(spark: SparkSession, folder: str) -> None:
