@@ -8,9 +8,10 @@
 
 *Token efficiency* (``token``): a maximal run of 20 or more ``[A-Za-z0-9+/_=-]`` that has letters and
 digits and fewer than ``ratio`` characters a token under a byte-level BPE vocabulary, as
-random strings have.  Known digests (hexadecimal of a digest's length), UUIDs, and identifiers
-(words joined by underscores, hyphens, slashes or capitals, with at most a number at the end of each)
-are excluded first.  Spans that overlap a base span are not added.
+random strings have.  UUIDs and identifiers (words joined by underscores, hyphens, slashes or capitals, with at
+most a number at the end of each) are excluded first.  Random capitals and digits can be cut into such pieces too, so
+the pieces of an identifier, and of each long part of it, must also have the characters a token of words.
+Hexadecimal keys look like digests, so neither is excluded.  Spans that overlap a base span are not added.
 """
 
 from __future__ import annotations
@@ -29,13 +30,14 @@ KINDS = ("assign", "access", "hex", "token")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-# Lengths of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512 in hexadecimal.
-DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-ALL_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 NAME_PART = re.compile(r"[A-Z]*[a-z]{2,}\d{0,4}|[A-Z]{2,}\d{0,4}|\d{1,4}")
+WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+#: Letters a token, in lower case, from which pieces are words: random ones have about 1.5, those of identifiers 4.
+WORD_RATIO = 2.2
+LONG_PART = 12
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -49,12 +51,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def is_known(run: str) -> bool:
-    """A digest, a UUID or an identifier."""
-    if UUID.fullmatch(run) or ALL_HEX.fullmatch(run) and len(run) in DIGEST_LENGTHS:
+def like_words(text: str, encode) -> bool:
+    words = WORD.findall(text)
+    return sum(map(len, words)) >= WORD_RATIO * sum(len(encode(f" {w.lower()}")) for w in words)
+
+
+def is_known(run: str, encode) -> bool:
+    """A UUID or an identifier."""
+    if UUID.fullmatch(run):
         return True
     parts = [p for p in re.split(r"[+/_=-]+", run) if p]
-    return all("".join(NAME_PART.findall(p)) == p and len(NAME_PART.findall(p)) <= 1 + len(p) // 4 for p in parts)
+    named = all("".join(NAME_PART.findall(p)) == p and len(NAME_PART.findall(p)) <= 1 + len(p) // 4 for p in parts)
+    return named and like_words(run, encode) and all(like_words(p, encode) for p in parts if len(p) >= LONG_PART)
 
 
 def token_spans(text: str, taken: list[tuple[int, int, int]], encode, ratio: float) -> list[tuple[int, int, int]]:
@@ -63,7 +71,7 @@ def token_spans(text: str, taken: list[tuple[int, int, int]], encode, ratio: flo
         run = m.group()
         if run.isalpha() or run.isdigit() or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
             continue
-        if any(s < m.end() and m.start() < e for s, _, e in taken) or is_known(run):
+        if any(s < m.end() and m.start() < e for s, _, e in taken) or is_known(run, encode):
             continue
         if len(run) < ratio * len(encode(run)):
             out.append((m.start(), 3, m.end()))

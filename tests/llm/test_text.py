@@ -249,6 +249,23 @@ def test_secrets(docs_of):
     assert sec.redact("a SECRET b", [(2, 8), (4, 6)]) == "a [secret] b"
 
 
+ALPHABETS = {"base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "abcdefghijklmnopqrstuvwxyz0123456789", "BASE36": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "HEX": "0123456789ABCDEF"}
+
+
+@pytest.mark.parametrize("name", sorted(ALPHABETS))
+@pytest.mark.parametrize("size", [26, 32, 40])
+def test_recall_on_random_keys(name, size):
+    rng, encode = random.Random(6), encoder(default_vocabulary())
+    keys = ["".join(rng.choice(ALPHABETS[name]) for _ in range(size)) for _ in range(300)]
+    found = [sec.token_spans(f"key {k} end", [], encode, 2.0) == [(4, 3, 4 + size)] for k in keys]
+    assert sum(found) >= (0.9 if name == "HEX" else 0.98) * len(keys)
+
+
+@pytest.mark.parametrize("name", ["test_same_as_binascii_crc32", "aVeryLongCamelCaseName2", "MAX_CONNECTION_COUNT_16", "docs/reference/chapter12/index"])
+def test_identifiers_are_no_keys(name):
+    assert sec.token_spans(name, [], encoder(default_vocabulary()), 2.0) == []
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=60) | st.lists(st.sampled_from(["<|endoftext|>", "don't", "  ", "\n\n", "123", "Ünï", "!!!", "漢字", "a"]), max_size=8).map("".join))
 def test_ids_as_by_tokenizers(text):
