@@ -1,6 +1,6 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of letters and digits in lower case.  Test items are taken in blocks of bounded
+Words are runs of Unicode letters and digits in lower case, and single letters in scripts without spaces.  Test items are taken in blocks of bounded
 size; a block is broadcast and every training text is matched against it, so neither
 table is shuffled and a passage that many documents share is no hot key.  Two scans for each block:
 
@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.textkit import as_bytes, chunks, run_hash, run_sums, word_bounds, word_hashes
-from geoloom.llm.toxicity import _separators, lowered
+from geoloom.llm.textkit import as_bytes, chunks, letter_bounds, run_hash, run_sums, word_hashes
+from geoloom.llm.toxicity import lowered
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_NGRAMS = 1 << 20
@@ -53,7 +53,7 @@ class Items:
 
     def __init__(self, rows: list[tuple[int | None, str | None]], n: int) -> None:
         texts = [lowered((t or "").encode("utf-8", "replace")) for _, t in rows]
-        buf, starts, ends, counts = word_bounds(texts, _separators())
+        buf, starts, ends, counts = letter_bounds(texts)
         hashes = word_hashes(buf, starts, ends)
         offsets = np.concatenate([[0], np.cumsum(counts)])
         self.n, self.ids, self.words = n, [], []
@@ -95,7 +95,7 @@ class Items:
 
     def hits(self, texts: list[bytes]):
         """(starts, ends, hashes, offsets, text row, word, n-gram index) of a batch of lowered texts."""
-        buf, starts, ends, counts = word_bounds(texts, _separators())
+        buf, starts, ends, counts = letter_bounds(texts)
         hashes = word_hashes(buf, starts, ends)
         offsets = np.concatenate([[0], np.cumsum(counts)])
         sums, row_of = run_sums(hashes), np.repeat(np.arange(len(texts)), counts)
@@ -194,7 +194,7 @@ def item_blocks(benchmark: DataFrame, n: int, most: int = BLOCK_NGRAMS) -> Itera
     rows, size = [], 0
     for r in benchmark.toLocalIterator():
         rows.append((r["item_id"], r["text"]))
-        size += len((r["text"] or "").split())
+        size += len(letter_bounds([(r["text"] or "").encode("utf-8", "replace")])[1])
         if size >= most:
             yield Items(rows, n)
             rows, size = [], 0

@@ -1,7 +1,8 @@
 """Vectorised word splitting and hashing shared by the text operators.
 
 A batch of texts is one byte buffer.  Words are the maximal runs outside the
-ASCII white space ``[\\x20\\x09-\\x0D]``.  A word's hash is a polynomial over its
+ASCII white space ``[\\x20\\x09-\\x0D]``, or those of letters and digits
+(:func:`letter_bounds`).  A word's hash is a polynomial over its
 bytes modulo 2**64, read off prefix sums and then mixed, so a batch needs a few
 numpy passes and no Python loop over words.  Runs of words are hashed the same
 way over their words' hashes.
@@ -9,6 +10,7 @@ way over their words' hashes.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,17 +52,76 @@ def _space_table() -> np.ndarray:
     return _TABLES["space"]
 
 
-def word_bounds(texts: list[bytes], separators: np.ndarray | None = None):
+def word_bounds(texts: list[bytes]):
     """``(buffer, starts, ends, counts)``: every word of the batch in order, and the words per text."""
     joined = b" ".join([*texts, b""])
-    buf = np.frombuffer(joined, dtype=np.uint8)
-    gap = (_space_table() if separators is None else separators)[buf]
-    edge = np.diff(gap.view(np.int8), prepend=np.int8(1))
+    edge = np.diff(_space_table()[np.frombuffer(joined, dtype=np.uint8)].view(np.int8), prepend=np.int8(1))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    return joined, starts, ends, _per_text(texts, starts)
+
+
+def _per_text(texts: list[bytes], starts: np.ndarray) -> np.ndarray:
     firsts = np.zeros(len(texts) + 1, dtype=np.int64)
     np.cumsum([len(t) + 1 for t in texts], out=firsts[1:])
-    counts = np.diff(np.searchsorted(starts, firsts))
-    return joined, starts, ends, counts
+    return np.diff(np.searchsorted(starts, firsts))
+
+
+GAP, LETTER, ALONE, MARK = range(4)
+# Blocks of scripts that are written without spaces between words.
+UNSPACED = (
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19FF), (0x1A20, 0x1AAF), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x3029), (0x3031, 0x312F),
+    (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0xA4CF), (0xA9E0, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x16FE0, 0x18DFF), (0x1AFF0, 0x1B2FF), (0x20000, 0x3FFFF),
+)
+
+
+def _kinds() -> np.ndarray:
+    """By code point: a gap, a letter or digit, a letter that is a word by itself, or a mark on the character before."""
+    if "kinds" not in _TABLES:
+        first = np.array([ord(unicodedata.category(chr(c))[0]) for c in range(0x110000)], dtype=np.uint8)
+        t = np.zeros(0x110000, dtype=np.uint8)
+        t[(first == ord("L")) | (first == ord("N"))] = LETTER
+        t[first == ord("M")] = MARK
+        for a, b in UNSPACED:
+            t[a : b + 1][first[a : b + 1] == ord("L")] = ALONE
+        t[[0x3007, *range(0x3021, 0x302A), *range(0x3038, 0x303B)]] = ALONE  # Han numerals
+        _TABLES["kinds"] = t
+    return _TABLES["kinds"]
+
+
+def letter_bounds(texts: list[bytes]):
+    """As :func:`word_bounds`, words being the runs of Unicode letters and digits with their marks.
+
+    A letter of a script without spaces is a word by itself.
+    """
+    joined = b" ".join([*texts, b""])
+    buf, table = np.frombuffer(joined, dtype=np.uint8), _kinds()
+    kind = table[buf]
+    begins = np.ones(len(buf), dtype=bool)
+    if not joined.isascii():
+        kind[buf >= 0x80] = LETTER  # bytes that are no UTF-8
+        begins[(buf & 0xC0) == 0x80] = False
+        for size, low, high in ((2, 0xC0, 0xE0), (3, 0xE0, 0xF0), (4, 0xF0, 0xF8)):
+            at = np.flatnonzero((buf >= low) & (buf < high))
+            at = at[at + size <= len(buf)]
+            for i in range(1, size):
+                at = at[(buf[at + i] & 0xC0) == 0x80]
+            code = buf[at].astype(np.int64) & (0x7F >> size)
+            for i in range(1, size):
+                code = code << 6 | buf[at + i] & 0x3F
+            found = table[np.minimum(code, 0x10FFFF)]
+            for i in range(size):
+                kind[at + i] = found
+        marks = kind == MARK
+        if marks.any():
+            begins &= ~marks
+            kind = kind[np.maximum.accumulate(np.where(marks, 0, np.arange(len(buf))))]
+            kind[kind == MARK] = GAP  # at the very start
+    inside = kind != GAP
+    alone = kind == ALONE
+    was = np.concatenate([[False], inside[:-1]])
+    first = inside & (~was | begins & (alone | np.concatenate([[False], alone[:-1]])))
+    starts, ends = np.flatnonzero(first), np.flatnonzero(was & (~inside | first))
+    return joined, starts, ends, _per_text(texts, starts)
 
 
 def word_hashes(buf: bytes, starts: np.ndarray, ends: np.ndarray, block: int = _BLOCK) -> np.ndarray:

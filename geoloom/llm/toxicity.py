@@ -1,7 +1,7 @@
 """Toxic spans and document scores from a linear-chain conditional random field.
 
-*Labelled tokens.*  Labels are given for documents.  A feature of a token (the word, or one of
-its prefixes) whose document frequency among toxic documents is far above that among the
+*Labelled tokens.*  Labels are given for documents.  A feature of a token (the word, one of its
+prefixes, or in scripts without spaces a letter and its pairs with the letters beside it) whose document frequency among toxic documents is far above that among the
 others is a cue.  A token with a cue is labelled toxic in a toxic document and clean in
 any other; every other token is labelled clean.
 
@@ -26,16 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.llm.language_id import held_out
-from geoloom.llm.textkit import as_bytes, chunks, mix64, word_bounds, word_hashes
+from geoloom.llm.textkit import as_bytes, chunks, letter_bounds, mix64, word_hashes
 
 PREFIXES = (5, 6, 7, 8)  # in bytes
-_KEPT: dict = {}
-
-
-def _separators() -> np.ndarray:
-    if "sep" not in _KEPT:
-        _KEPT["sep"] = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-    return _KEPT["sep"]
 
 
 def lowered(text: bytes) -> bytes:
@@ -48,7 +41,7 @@ def lowered(text: bytes) -> bytes:
 
 def token_features(texts: list[bytes]):
     """(starts, ends, counts, features): a row of features for each word of the lowered texts; 0 stands for none."""
-    buf, starts, ends, counts = word_bounds(texts, _separators())
+    buf, starts, ends, counts = letter_bounds(texts)
     rows = [word_hashes(buf, starts, ends)]
     for i, n in enumerate(PREFIXES):
         has = ends - starts > n
@@ -56,6 +49,12 @@ def token_features(texts: list[bytes]):
         if has.any():
             f[has] = mix64(word_hashes(buf, starts[has], starts[has] + n) + np.uint64(i + 1))
         rows.append(f)
+    # words that touch are letters of a script without spaces: the pairs that one begins and ends
+    touch = np.flatnonzero(ends[:-1] == starts[1:])
+    for i in (0, 1):
+        f = np.zeros(len(starts), dtype=np.uint64)
+        f[touch + i] = mix64(rows[0][touch] * np.uint64(3) + rows[0][touch + 1] + np.uint64(i))
+        rows.append(f)
     return starts, ends, counts, np.stack(rows)
 
 
@@ -176,7 +175,7 @@ def distinct_texts(texts: list[bytes], bands: int = 4, rows: int = 2) -> np.ndar
     """Indices of the texts without near copies of earlier ones, by min-hashes of word pairs; else a text copied often makes all its words cues."""
     keep, seen = [], set()
     for i, t in enumerate(texts):
-        buf, starts, ends, _ = word_bounds([t], _separators())
+        buf, starts, ends, _ = letter_bounds([t])
         h = word_hashes(buf, starts, ends)
         pairs = mix64(h[:-1] * np.uint64(3) + h[1:]) if len(h) > 1 else h
         least = [int(mix64(pairs + np.uint64(k + 1)).min()) if len(pairs) else 0 for k in range(bands * rows)]

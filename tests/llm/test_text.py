@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 from itertools import product
 
@@ -16,6 +17,7 @@ from geoloom.llm import decontaminate as dec
 from geoloom.llm import language_id as lid
 from geoloom.llm import secret_scan as sec
 from geoloom.llm import toxicity as tox
+from geoloom.llm.textkit import letter_bounds
 from geoloom.llm.tokens import default_vocabulary, encoder
 
 LANGS = {"aa": "the of and thing over ering", "bb": "der die und ßeit über ung", "cc": "ção não que lhe são pára"}
@@ -151,6 +153,31 @@ def test_toxicity_without_labels(spark, docs_of):
     assert tox.toxicity(docs_of([]), field).count() == 0
 
 
+def test_toxicity_beside_other_marks(spark, docs_of):
+    rng = random.Random(7)
+    marks = ["“{}”", "«{}»", "¡{}!", "\u00a0{}\u00a0", "‘{}’", "word1—{}…"]
+    rows = [(i, " ".join(rng.choice([f"word{k}" for k in range(60)]) for _ in range(30))) for i in range(400)]
+    labels = [(i, 1, int(i % 4 == 0)) for i, _ in rows]
+    rows = [(i, t + " " + rng.choice(marks).format("vile") if y else t) for (i, t), (_, _, y) in zip(rows, labels, strict=True)]
+    got = {r.doc_id: r for r in tox.toxicity(docs_of(rows), tox.learn(docs_of(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))).collect()}
+    assert all(got[i].predicted == y for i, _, y in labels)
+    assert {t[s.start : s.end] for i, t in rows for s in got[i].spans} == {"vile"}
+
+
+def test_toxicity_without_spaces(spark, docs_of):
+    rng = random.Random(8)
+    letters = [chr(0x4E00 + i) for i in range(200)]
+    bad = letters[5] + letters[9]  # its letters are common, the pair is not
+    rows, labels = [], []
+    for i in range(400):
+        t = "".join(rng.choice(letters) for _ in range(80)).replace(bad, letters[0] * 2)
+        rows.append((i, t[:40] + bad + t[40:] + "。" if i % 4 == 0 else t + "。"))
+        labels.append((i, 1, int(i % 4 == 0)))
+    got = {r.doc_id: r for r in tox.toxicity(docs_of(rows), tox.learn(docs_of(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))).collect()}
+    assert all(got[i].predicted == y for i, _, y in labels)
+    assert {t[s.start : s.end] for i, t in rows for s in got[i].spans} == set(bad)
+
+
 # --- decontamination ---
 
 
@@ -213,6 +240,60 @@ def test_contamination_blocks_and_edges(spark, docs_of, monkeypatch):
     assert dec.contamination(docs_of([]), bench).count() == 0 and dec.contamination(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("first", [0x4E00, 0x3041, 0x0E01, 0x0E81, 0x1780])
+def test_contamination_without_spaces(spark, docs_of, first):
+    rng = random.Random(first)
+    say = lambda n: "".join(chr(first + rng.randrange(40)) for _ in range(n))
+    item = say(30)
+    docs = docs_of([(1, say(80) + item + say(80)), (2, f"{say(10)}「{item[:12]}」{item[12:]}。"), (3, say(190))])
+    got = {r.row_key: r for r in dec.contamination(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
+    assert set(got) == {1, 2} and got[1].score == got[2].score == 1.0 and (got[1].start, got[1].end) == (80, 110)
+
+
+def test_contamination_with_other_typography(spark, docs_of):
+    item = "He said 'wait here' - the old man's dog (a big one) ran off, and nobody came back at all"
+    text = "“Intro” He\u00a0said ‘wait\u202fhere’—the old man’s dog\u2009«a big one» ran off… and¡nobody!came back at all."
+    got = dec.contamination(docs_of([(1, text)]), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert [r.score for r in got] == [1.0] and text[got[0].start : got[0].end] == text[8:-1]
+
+
+def letter_words(text):
+    """Words with their offsets in bytes, by walking the characters."""
+    out, at, open_, alone_before = [], 0, False, False
+    for c in text:
+        kind, size = unicodedata.category(c)[0], len(c.encode())
+        alone = kind in "LN" and (0x4E00 <= ord(c) <= 0x9FFF or 0x0E01 <= ord(c) <= 0x0E30)
+        if kind == "M" and open_:
+            out[-1][1] = at + size
+        elif kind in "LN":
+            if open_ and not alone and not alone_before:
+                out[-1][1] = at + size
+            else:
+                out.append([at, at + size])
+            open_, alone_before = True, alone
+        else:
+            open_, alone_before = False, False
+        at += size
+    return out
+
+
+@settings(max_examples=300)
+@given(st.lists(st.text(alphabet="aZ9_ .é’—\u00a0\u0301漢字กข\u0e48ß𝒜😀ع", max_size=14), max_size=4))
+def test_letter_bounds(texts):
+    raw = [t.encode() for t in texts]
+    _, starts, ends, counts = letter_bounds(raw)
+    want, base = [], 0
+    for t, r in zip(texts, raw, strict=True):
+        want += [(base + s, base + e) for s, e in letter_words(t)]
+        base += len(r) + 1
+    assert list(zip(starts.tolist(), ends.tolist(), strict=True)) == want and counts.tolist() == [len(letter_words(t)) for t in texts]
+
+
+def test_letter_bounds_of_broken_bytes():
+    buf, starts, ends, _ = letter_bounds([b"caf\xe9 au lait \xc3", b"\xe4\xb8"])
+    assert [buf[s:e] for s, e in zip(starts, ends, strict=True)] == [b"caf\xe9", b"au", b"lait", b"\xc3", b"\xe4\xb8"]
+
+
 # --- secrets ---
 
 
