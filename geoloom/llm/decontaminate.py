@@ -7,6 +7,7 @@ table is shuffled and a passage that many documents share is no hot key.  Two sc
 1. The document frequency, over the whole corpus, of the block's n-grams.  An n-gram is a *rare
    seed* of an item unless it is far more frequent than the item's n-grams usually are;
    that is relative to the item, so an item with very many copies keeps its seeds.
+   Items of fewer than ``LONG_ITEM`` words have seeds of two words, longer ones of ``n``.
 2. Texts that hold a seed of an item are aligned to it around the seed's diagonal.  The
    score is the local alignment's over that of a perfect copy.
 """
@@ -25,6 +26,8 @@ from geoloom.llm.toxicity import lowered
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_NGRAMS = 1 << 20
+#: An item of fewer words has seeds of two: edits can leave no four words of it in a row though it still scores one half.
+LONG_ITEM, SHORT_SEED = 27, 2
 
 
 def smith_waterman(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
@@ -62,7 +65,7 @@ class Items:
             w = hashes[offsets[i] : offsets[i + 1]]
             if not len(w):
                 continue
-            size = min(n, len(w))
+            size = min(n if len(w) >= LONG_ITEM else SHORT_SEED, n, len(w))
             at = np.arange(len(w) - size + 1)
             grams.append(run_hash(run_sums(w), at, at + size))
             items.append(np.full(len(at), len(self.ids)))
@@ -207,7 +210,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
     ``row_key`` is the row's ``key``, a long; ``start`` and ``end`` are code points of the aligned
     passage.  Null, empty and wordless texts and items match nothing; an item shorter than ``n``
-    words is its own seed.  Repeated rows and items each give their rows.  Empty tables give
+    words has shorter seeds, one of a word or two is its own.  A pair that shares no seed that was kept
+is not aligned.  Repeated rows and items each give their rows.  Empty tables give
     no rows.
     """
     spark = docs.sparkSession

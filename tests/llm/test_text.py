@@ -240,6 +240,17 @@ def test_contamination_blocks_and_edges(spark, docs_of, monkeypatch):
     assert dec.contamination(docs_of([]), bench).count() == 0 and dec.contamination(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("every", [3, 4])
+def test_contamination_of_short_items_edited_throughout(spark, docs_of, every):
+    sizes = range(8, 27)
+    items = [(n, " ".join(f"i{n}w{j}" for j in range(n))) for n in sizes]
+    edited = {n: " ".join("fresh" if j % every == every - 1 else f"i{n}w{j}" for j in range(n)) for n in sizes}
+    want = {n for n, x in items if sw_brute(words(x), words(edited[n])) / (2 * n) >= 0.5}
+    docs = docs_of([(n, f"some words before {t} and after") for n, t in edited.items()])
+    got = dec.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.row_key, r.item_id) for r in got} == {(n, n) for n in want} and len(want) == len(sizes)
+
+
 @pytest.mark.parametrize("first", [0x4E00, 0x3041, 0x0E01, 0x0E81, 0x1780])
 def test_contamination_without_spaces(spark, docs_of, first):
     rng = random.Random(first)
