@@ -5,8 +5,8 @@ every run of other characters one word boundary.  A document gets the language w
 profile has the smallest out-of-place distance: the sum over the document's ranked
 n-grams of the difference between their ranks, ``top`` for one the profile lacks.
 
-Profiles are learnt from at most about ``per_language`` labelled documents of each
-language, chosen by a hash of their id; every whole text is classified.
+Profiles are learnt from at most ``per_language`` labelled documents of each
+language, chosen by a hash; every whole text is classified.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoloom.llm.staging import bounded_sample, share, shared
+
 UNKNOWN = "und"
 _BLOCK = 1 << 21
 _KEPT: dict = {}
@@ -32,35 +34,37 @@ def _letters() -> np.ndarray:
     return _KEPT["letters"]
 
 
-def _codes(text: str) -> np.ndarray:
-    """The n-grams as integers of 21 bits a character; 0x20 is a word boundary, 0 fills up."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype="<u4")
-    c = np.concatenate([[0], _letters()[points], [0]])
-    c = c[(c != 0) | np.append(True, c[:-1] != 0)]
-    if len(c) < 3:
-        return np.empty(0, dtype=np.int64)
-    mark = np.where(c == 0, 0x20, c)
-    one = c[c != 0]
+def _codes(stream: np.ndarray, known: int) -> np.ndarray:
+    """The n-grams that end past the first ``known`` letters of a stream, as integers of 21 bits a character; 0x20 is a word boundary, 0 fills up."""
+    mark = np.where(stream == 0, 0x20, stream)
+    one = stream[known:]
     two = mark[:-1] | mark[1:] << 21
-    inner = c[1:-1] != 0
-    three = (two[:-1] | mark[2:] << 42)[inner]
-    return np.concatenate([one, two, three])
+    three = two[:-1] | mark[2:] << 42
+    return np.concatenate([one[one != 0], two[max(0, known - 1) :], three[max(0, known - 2) :][stream[1:-1][max(0, known - 2) :] != 0]])
 
 
 def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams and their counts; a text longer than a block is counted block by block, at word ends if it has any."""
-    if len(text) <= _BLOCK:
-        return np.unique(_codes(text), return_counts=True)
-    codes, counts, a = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), 0
-    while a < len(text):
-        b = min(len(text), a + _BLOCK)
-        if b < len(text):
-            cut = text.rfind(" ", a + 1, b)
-            b = cut if cut > a else b
-        more, n = np.unique(_codes(text[a:b]), return_counts=True)
-        codes, at = np.unique(np.concatenate([codes, more]), return_inverse=True)
-        counts = np.bincount(at, weights=np.concatenate([counts, n])).astype(np.int64)
-        a = b
+    """Distinct n-grams of the whole text and their counts.
+
+    A long text is read block by block; the last two letters of a block go before the next one, so where blocks end makes no difference.
+    """
+    low = text.lower()
+    codes, counts = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    before = np.zeros(1, dtype=np.int64)  # a text begins with a word boundary
+    for a in range(0, len(low), _BLOCK):
+        points = np.frombuffer(low[a : a + _BLOCK].encode("utf-32-le", "replace"), dtype="<u4")
+        c = np.concatenate([before, _letters()[points], np.zeros(int(a + _BLOCK >= len(low)), dtype=np.int64)])
+        fresh = np.ones(len(c), dtype=bool)
+        fresh[1:] = (c[1:] != 0) | (c[:-1] != 0)
+        c = c[fresh]
+        if len(c) > 1:
+            more, n = np.unique(_codes(c, len(before)), return_counts=True)
+            if len(codes):
+                codes, at = np.unique(np.concatenate([codes, more]), return_inverse=True)
+                counts = np.bincount(at, weights=np.concatenate([counts, n])).astype(np.int64)
+            else:
+                codes, counts = more, n
+        before = c[-2:]
     return codes, counts
 
 
@@ -111,13 +115,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(labelled: DataFrame, per_language: int = 1500, top: int = 300) -> Profiles:
-    """Profiles from (doc_id, lang, text); null languages teach nothing."""
-    known = labelled.where("lang IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
-    if not sizes:
-        return Profiles({}, top)
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))])
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    """Profiles from at most ``per_language`` rows (doc_id, lang, text) a language; null languages teach nothing."""
+    known = labelled.where("lang IS NOT NULL").select("doc_id", "lang", "text")
+    chosen = bounded_sample(known, "lang", per_language)
     counts = chosen.select("lang", "text").mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     best = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))).where(F.col("rank") <= top)
     profiles: dict[str, list[int]] = {}
@@ -126,9 +126,9 @@ def learn(labelled: DataFrame, per_language: int = 1500, top: int = 300) -> Prof
     return Profiles(profiles, top)
 
 
-def _classify(shared, rest: list[str]):
+def _classify(model, rest: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        profiles: Profiles = shared.value
+        profiles: Profiles = shared(model)
         for batch in batches:
             found = [profiles.classify(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*rest, "__lang_pred", "__score"])
@@ -142,12 +142,12 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", carry:
     ``und`` with score 0 for a null text or one without letters (Unicode categories L*),
     or where no language was learnt.  Columns in ``carry`` pass through; others are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(profiles)
+    model = share(docs.sparkSession, profiles)
     where = {c: "__text" if c == text_col else f"__c_{c}" for c in carry}
     src = docs.select(F.col(text_col).cast("string").alias("__text"), *(F.col(c).alias(x) for c, x in where.items() if x != "__text"))
     kept = src.schema.fields if text_col in carry else src.schema.fields[1:]
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
-    out = src.mapInArrow(_classify(shared, [f.name for f in kept]), f"{kinds}__lang_pred string, __score double")
+    out = src.mapInArrow(_classify(model, [f.name for f in kept]), f"{kinds}__lang_pred string, __score double")
     return out.select(*(F.col(x).alias(c) for c, x in where.items()), F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"))
 
 

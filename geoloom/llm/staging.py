@@ -2,17 +2,33 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 LOCAL_DEFAULT = "file:///tmp/checkpoints/geoloom"
 _MADE: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where that is unset (tests), a local default."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DEFAULT).rstrip("/")
+    """``spark.checkpoint.dir`` of the session; where that is unset, a local default on a local master (tests), an error on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (folder or LOCAL_DEFAULT).rstrip("/")
+
+
+def share(spark: SparkSession, model):
+    """A broadcast of ``model`` for :func:`shared`, pickled with its class: workers need not be able to import this package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(model))
+
+
+def shared(broadcast):
+    """The model of a :func:`share` on a worker."""
+    return pickle.loads(broadcast.value)
 
 
 def application_dir(spark: SparkSession) -> str:
@@ -61,3 +77,20 @@ def drop(*frames: DataFrame) -> None:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def bounded_sample(rows: DataFrame, group: str, most: int) -> DataFrame:
+    """At most ``most`` rows of each group, those with the least 63-bit hashes; all rows of a smaller group.
+
+    A threshold on the hash, eight standard deviations above the share wanted, keeps all but about ``most`` rows of a
+    group from the shuffle, and a rank makes the bound exact, however often a row is repeated.  Groups are few.
+    """
+    sizes = {r[0]: r[1] for r in rows.groupBy(group).agg(F.count(F.lit(1))).collect()}  # one row a group
+    if not sizes:
+        return rows
+    hashed, top = F.shiftrightunsigned(F.xxhash64(*sorted(rows.columns)), 1), 1 << 63
+    wanted = most + 8 * int(most**0.5) + 64
+    limits = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(top - 1, top * wanted // n)).cast("long"))])
+    near = rows.where(hashed <= limits[F.col(group)])
+    order = Window.partitionBy(group).orderBy(hashed)
+    return near.withColumn("__nth", F.row_number().over(order)).where(F.col("__nth") <= most).drop("__nth")
