@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoloom.llm.staging import materialize, shuffle_partitions
+from geoloom.llm.staging import materialize, share, shared, shuffle_partitions
 from geoloom.llm.tokens import default_vocabulary, encoder
 
 
@@ -41,27 +41,36 @@ def combinations(lengths: list[int], window: int) -> list[tuple[int, ...]]:
     return pairs + triples
 
 
-def nnls(columns: list[tuple[int, ...]], target: dict[int, int], sweeps: int = 12, tolerance: float = 0.25) -> list[float]:
-    """Coordinate descent for ``min |A x - target|, x >= 0``; a column lists its lengths, repeats included."""
-    left = {k: float(v) for k, v in target.items()}
-    weights = [{a: c.count(a) for a in c} for c in columns]
-    norms = [sum(m * m for m in w.values()) for w in weights]
+def nnls(columns: list[tuple[int, ...]], target: dict[int, int], sweeps: int = 10_000, tolerance: float = 0.25) -> list[float]:
+    """Coordinate descent for ``min |A x - target|, x >= 0``; a column lists its lengths, repeats included.
+
+    A sweep visits the columns that still break an optimum's conditions, and none is left at the end: no column could take more
+    than ``tolerance`` documents of its lengths, nor should one in use give back more.  ``sweeps`` only guards against an endless loop.
+    """
+    if not columns:
+        return []
+    at = {k: i for i, k in enumerate(target)}
+    left = [float(v) for v in target.values()]
+    weights = [[(at[a], c.count(a)) for a in dict.fromkeys(c)] for c in columns]
+    norms = [sum(m * m for _, m in w) for w in weights]
+    width = max(map(len, weights))
+    rows = np.array([[i for i, _ in w] + [len(left)] * (width - len(w)) for w in weights])
+    times = np.array([[m for _, m in w] + [0] * (width - len(w)) for w in weights])
     x = [0.0] * len(columns)
     for _ in range(sweeps):
-        moved = 0.0
-        for j, w in enumerate(weights):
-            step = sum(m * left[a] for a, m in w.items()) / norms[j]
-            new = x[j] + step
-            if new < 0:
-                new = 0.0
-            step = new - x[j]
-            if step:
-                x[j] = new
-                for a, m in w.items():
-                    left[a] -= m * step
-                moved = max(moved, abs(step))
-        if moved < tolerance:
+        pull = (np.append(left, 0.0)[rows] * times).sum(axis=1)
+        now = np.array(x)
+        broken = np.flatnonzero((pull > tolerance) | (now > 0) & (pull < -tolerance))
+        if not len(broken):
             break
+        for j in broken.tolist():
+            w = weights[j]
+            step = sum(m * left[i] for i, m in w) / norms[j]
+            step = max(step, -x[j])
+            if step:
+                x[j] += step
+                for i, m in w:
+                    left[i] -= m * step
     return x
 
 
@@ -163,11 +172,11 @@ def _tokenise(path: str, window: int, whole: bool, end_id: int):
     return run
 
 
-def _place(shared, window: int, first_seq: int, cut: bool, whole: bool):
+def _place(plan_of, window: int, first_seq: int, cut: bool, whole: bool):
     """Pieces of ranked documents.  Without ids only what is not cut is placed (``cut`` False) or else only what is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan: Plan = shared.value
+        plan: Plan = shared(plan_of)
         slots = sorted(plan.slots)
         keys = [(s[0], s[1]) for s in slots]
         stream = {s[0]: s for s in plan.stream}
@@ -248,8 +257,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     histogram = {x["r"]: x["c"] for x in meta.groupBy("r").agg(F.count(F.lit(1)).alias("c")).collect()}  # fewer rows than the window has tokens
     plan = make_plan(histogram, window)
 
-    share = max(1, sum(histogram.values()) // (4 * shuffle_partitions(spark)))
-    salts = spark.createDataFrame([(r, -(-c // share)) for r, c in histogram.items()], "r int, salts long")
+    most = max(1, sum(histogram.values()) // (4 * shuffle_partitions(spark)))
+    salts = spark.createDataFrame([(r, -(-c // most)) for r, c in histogram.items()], "r int, salts long")
     salted = meta.join(F.broadcast(salts), "r").withColumn("salt", F.pmod(F.xxhash64("row"), "salts"))
     groups = salted.groupBy("r", "salt").agg(F.count(F.lit(1)).alias("c"), F.sum(F.size("crcs")).alias("full")).orderBy("r", "salt").collect()  # at most window + 4 x partitions rows
     starts, ranks, full = [], {}, 0
@@ -266,11 +275,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     )
     ranked = materialize(ranked, "ranked")
 
-    shared = spark.sparkContext.broadcast(plan)
+    plan_of = share(spark, plan)
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
     cols = ["doc_id", "n", "crcs", "rest_crc", "k", "f", "ids"]
     if with_ids:
-        return ranked.join(table.select("row", "ids"), "row").select(cols).mapInArrow(_place(shared, window, full, True, True), schema)
-    plain = ranked.withColumn("ids", F.lit(None).cast("binary")).select(cols).mapInArrow(_place(shared, window, full, False, False), schema)
-    crossing = ranked.where(_is_cut(plan, window)).join(table.select("row", "ids"), "row").select(cols).mapInArrow(_place(shared, window, full, True, False), schema)
+        return ranked.join(table.select("row", "ids"), "row").select(cols).mapInArrow(_place(plan_of, window, full, True, True), schema)
+    plain = ranked.withColumn("ids", F.lit(None).cast("binary")).select(cols).mapInArrow(_place(plan_of, window, full, False, False), schema)
+    crossing = ranked.where(_is_cut(plan, window)).join(table.select("row", "ids"), "row").select(cols).mapInArrow(_place(plan_of, window, full, True, False), schema)
     return plain.unionByName(crossing).drop("ids")
