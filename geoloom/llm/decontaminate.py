@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geoloom.llm.staging import share, shared
 from geoloom.llm.textkit import as_bytes, chunks, letter_bounds, run_hash, run_sums, word_hashes
 from geoloom.llm.toxicity import lowered
 
@@ -28,6 +29,8 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_NGRAMS = 1 << 20
 #: An item of fewer words has seeds of two: edits can leave no four words of it in a row though it still scores one half.
 LONG_ITEM, SHORT_SEED = 27, 2
+#: What the registered queries take for ``min_words``: half of the words of a shorter item stand in many clean texts.
+EVIDENCE_WORDS = 8
 
 
 def smith_waterman(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
@@ -54,7 +57,7 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[float, int, int]:
 class Items:
     """A block of test items: their words, and their n-grams with the places where each occurs."""
 
-    def __init__(self, rows: list[tuple[int | None, str | None]], n: int) -> None:
+    def __init__(self, rows: list[tuple[int | None, str | None]], n: int, min_words: int = 1) -> None:
         texts = [lowered((t or "").encode("utf-8", "replace")) for _, t in rows]
         buf, starts, ends, counts = letter_bounds(texts)
         hashes = word_hashes(buf, starts, ends)
@@ -63,7 +66,7 @@ class Items:
         grams, items, places, sizes = [], [], [], []
         for i, (item_id, _) in enumerate(rows):
             w = hashes[offsets[i] : offsets[i + 1]]
-            if not len(w):
+            if len(w) < max(1, min_words):
                 continue
             size = min(n if len(w) >= LONG_ITEM else SHORT_SEED, n, len(w))
             at = np.arange(len(w) - size + 1)
@@ -88,10 +91,11 @@ class Items:
     def keep_rare(self, frequency: np.ndarray, floor: int, times: float) -> None:
         """Keep each item's seeds: n-grams found in at most ``floor`` documents or ``times`` the item's median."""
         each = np.repeat(frequency, self.many)
-        keep = np.zeros(len(each), dtype=bool)
-        for i in range(len(self.ids)):
-            mine = np.flatnonzero(self.item == i)
-            keep[mine] = each[mine] <= max(floor, times * np.median(each[mine]))
+        order = np.lexsort((each, self.item))
+        sizes = np.bincount(self.item, minlength=len(self.ids))
+        first = np.cumsum(sizes) - sizes
+        middle = (each[order[first + (sizes - 1) // 2]] + each[order[first + sizes // 2]]) / 2  # each item has an n-gram at least
+        keep = each <= np.maximum(floor, times * middle)[self.item]
         grams = np.repeat(self.grams, self.many)[keep]
         self.item, self.place = self.item[keep], self.place[keep]
         self._index(grams)
@@ -118,9 +122,9 @@ class Items:
         return starts, ends, hashes, offsets, join(rows), join(words), join(found)
 
 
-def _frequency(shared):
+def _frequency(block):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items: Items = shared.value
+        items: Items = shared(block)
         total = np.zeros(len(items.grams), dtype=np.int64)
         for batch in batches:
             texts = [lowered(t) for t in as_bytes(batch.column(0))]
@@ -147,12 +151,11 @@ def _regions(item: int, length: int, diagonals: np.ndarray, limit: int) -> Itera
     yield lo, hi
 
 
-def _match(shared, threshold: float):
+def _match(block, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items: Items = shared.value
+        items: Items = shared(block)
         for batch in batches:
-            raw = as_bytes(batch.column(1))
-            texts = [lowered(t) for t in raw]
+            texts = [lowered(t) for t in as_bytes(batch.column(1))]
             out: list[tuple] = []
             for a, b in chunks(texts):
                 starts, ends, hashes, offsets, row, word, gram = items.hits(texts[a:b])
@@ -178,7 +181,7 @@ def _match(shared, threshold: float):
                         score, s, e = align(target, here)
                         best = max(best, (score, lo + s, lo + e), key=lambda x: x[0])
                     if best[0] >= threshold:
-                        text = raw[a + t]
+                        text = texts[a + t]
                         s, e = int(starts[offsets[t] + best[1]] - base[t]), int(ends[offsets[t] + best[2] - 1] - base[t])
                         begin = len(text[:s].decode("utf-8", "replace"))
                         out.append((a + t, items.ids[i], best[0], begin, begin + len(text[s:e].decode("utf-8", "replace"))))
@@ -192,40 +195,44 @@ def _match(shared, threshold: float):
     return run
 
 
-def item_blocks(benchmark: DataFrame, n: int, most: int = BLOCK_NGRAMS) -> Iterator[Items]:
+def item_blocks(benchmark: DataFrame, n: int, min_words: int = 1, most: int = BLOCK_NGRAMS) -> Iterator[Items]:
     """The benchmark in blocks of about ``most`` n-grams, read one partition at a time."""
     rows, size = [], 0
     for r in benchmark.toLocalIterator():
         rows.append((r["item_id"], r["text"]))
         size += len(letter_bounds([(r["text"] or "").encode("utf-8", "replace")])[1])
         if size >= most:
-            yield Items(rows, n)
+            yield Items(rows, n, min_words)
             rows, size = [], 0
     if rows:
-        yield Items(rows, n)
+        yield Items(rows, n, min_words)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text_col: str = "text", n: int = 4, threshold: float = 0.5, floor: int = 8, times: float = 4.0) -> DataFrame:
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text_col: str = "text", n: int = 4, threshold: float = 0.5, floor: int = 8, times: float = 4.0, min_words: int = 1
+) -> DataFrame:
     """(row_key, item_id, score, start, end): every text and test item whose alignment scores at least ``threshold``.
 
     ``row_key`` is the row's ``key``, a long; ``start`` and ``end`` are code points of the aligned
-    passage.  Null, empty and wordless texts and items match nothing; an item shorter than ``n``
+    passage.  Null, empty and wordless texts and items match nothing, nor do items of fewer than ``min_words``
+    words, which are too short to be evidence; an item shorter than ``n``
     words has shorter seeds, one of a word or two is its own.  A pair that shares no seed that was kept
-is not aligned.  Repeated rows and items each give their rows.  Empty tables give
-    no rows.
+    is not aligned.  Of passages of one text that score alike the first counts.  Whole texts are matched, however long.
+    Repeated rows and items each give their rows.  Empty tables give no rows; other columns are ignored, whatever
+    their names.
     """
     spark = docs.sparkSession
     src = docs.select(F.col(key).cast("long").alias("row_key"), F.col(text_col).cast("string").alias("text"))
     schema = "row_key long, item_id long, score double, start long, end long"
     out = None
-    for items in item_blocks(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")), n):
+    for items in item_blocks(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")), n, min_words):
         if not items.ids:
             continue
-        counts = src.select("text").mapInArrow(_frequency(spark.sparkContext.broadcast(items)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+        counts = src.select("text").mapInArrow(_frequency(share(spark, items)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
         frequency = np.zeros(len(items.grams), dtype=np.int64)
         for r in counts.collect():  # at most the block's n-grams
             frequency[r["gram"]] = r["n"]
         items.keep_rare(frequency, floor, times)
-        found = src.mapInArrow(_match(spark.sparkContext.broadcast(items), threshold), schema)
+        found = src.mapInArrow(_match(share(spark, items), threshold), schema)
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], schema) if out is None else out

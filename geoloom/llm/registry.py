@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoloom.llm.decontaminate import contamination
+from geoloom.llm.decontaminate import EVIDENCE_WORDS, contamination
 from geoloom.llm.exact_dedup import exact_dedup
 from geoloom.llm.language_id import held_out, language_id
 from geoloom.llm.line_dedup import line_dedup
@@ -22,10 +22,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in windows of 1024 tokens."""
     return pack(_table(spark, sf_dir, "documents"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, by a field learnt from the labelled ones that are not held out."""
     docs = _table(spark, sf_dir, "documents")
     field = learn_toxicity(docs, _table(spark, sf_dir, "labels"))
     scored = toxicity(docs.select("doc_id", "text", held_out().alias("held_out")), field, carry=("doc_id", "held_out"))
@@ -33,35 +35,42 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of all documents without lines that an earlier document holds."""
     return line_dedup(_table(spark, sf_dir, "documents"), keep_text=False)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of all documents without repeated windows of 35 words."""
     return substring_dedup(_table(spark, sf_dir, "documents"), keep_text=False)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contaminated documents with the items that they hold."""
-    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).withColumnRenamed("row_key", "doc_id")
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), min_words=EVIDENCE_WORDS).withColumnRenamed("row_key", "doc_id")
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, a digest and the list of the secrets in all documents."""
     return secret_digests(find_secrets(_table(spark, sf_dir, "documents")))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages after a round trip through archives."""
     return round_trip(_table(spark, sf_dir, "pages"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learnt from the labelled ones that are not held out."""
     return language_id(_table(spark, sf_dir, "documents"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of all documents."""
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the one of their group that stays."""
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
