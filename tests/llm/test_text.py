@@ -83,6 +83,49 @@ def test_blocks_count_the_same(monkeypatch):
     assert all((a == b).all() for a, b in zip(whole, lid.ngram_counts(text), strict=True))
 
 
+@settings(max_examples=100)
+@given(st.text(alphabet="abcÄéİΣ12 \n.", max_size=60), st.integers(1, 7))
+def test_blocks_count_as_the_whole_text(text, size):
+    whole = lid.ngram_counts(text)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(lid, "_BLOCK", size)
+        assert [x.tolist() for x in lid.ngram_counts(text)] == [x.tolist() for x in whole]
+
+
+def out_of_place_brute(text, profiles, top):
+    """The nearest profile (name to list of n-grams) by the definition of the distance."""
+    mine = profile_brute(text, top)
+    apart = {k: sum(abs(i - p.index(c)) if c in p else top for i, c in enumerate(mine)) for k, p in profiles.items()}
+    best = min(sorted(apart), key=apart.get)
+    return best, 1 - apart[best] / (top * len(mine))
+
+
+def test_language_id_by_brute_force(docs_of):
+    rows = language_rows(150)
+    profiles = {}
+    for lang in LANGS:
+        taught = "\n".join(t for i, t, x in rows if x == lang and zlib.crc32(str(i).encode()) % 3 != 1)
+        profiles[lang] = profile_brute(taught, 50)
+    got = {r.doc_id: r for r in lid.language_id(docs_of(rows), top=50).collect()}
+    for i, t, _ in rows:
+        name, score = out_of_place_brute(t, profiles, 50)
+        assert got[i].lang_pred == name and abs(got[i].score - score) < 1e-12
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_sample_is_bounded(spark, repeated):
+    from geoloom.llm.staging import bounded_sample
+
+    rows = spark.range(40_000).select(F.lit(7 if repeated else 0).alias("one"), "id", F.when(F.col("id") % 4000 == 1, "rare").otherwise("common").alias("label"))
+    rows = rows.select(F.when(F.col("one") == 7, F.lit(7)).otherwise(F.col("id")).alias("doc_id"), "label", "id")
+    got = bounded_sample(rows, "label", 100)
+    assert {r["label"]: r["count"] for r in got.groupBy("label").count().collect()} == {"rare": 10, "common": 100}
+    if not repeated:
+        best = rows.where("label = 'common'").withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id", "id", "label"), 1)).orderBy("h").limit(100)
+        assert {r.id for r in got.where("label = 'common'").collect()} == {r.id for r in best.collect()}
+    assert bounded_sample(rows.limit(0), "label", 100).count() == 0
+
+
 # --- toxicity ---
 
 
@@ -178,6 +221,65 @@ def test_toxicity_without_spaces(spark, docs_of):
     assert {t[s.start : s.end] for i, t in rows for s in got[i].spans} == set(bad)
 
 
+ODD = {"Kelvin": "\u212aelvin", "İstanbul": "istanbul", "STRAẞE": "straße", "ΟΔΟΣ": "οδος", "ÄRGER": "ärger", "ÉCOLE": "école"}
+
+
+def fold_brute(text):
+    """Letter by letter, one for one."""
+    return "".join("i" if c == "İ" else "σ" if c in "Σς" else c.lower() for c in text)
+
+
+@settings(max_examples=200)
+@given(st.text(alphabet="aKİSẞßΣςÄé漢 .\u212a\u0307", max_size=30))
+def test_letters_fold_alike_in_every_text(text):
+    low = tox.lowered(text.encode()).decode()
+    assert low == fold_brute(text) and len(low) == len(text)
+
+
+def test_spans_and_matches_beside_letters_of_other_sizes(spark, docs_of):
+    rows, labels = toxic_rows()
+    field = tox.learn(docs_of(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    text = "\u212a İ ẞ ΣΟΣ word1 SCÉLÉRAT word2 İ rotten \u212a word3"
+    got = tox.toxicity(docs_of([(1, text), (2, None), (3, "")]), field).collect()
+    assert [text[s.start : s.end] for s in got[0].spans] == ["SCÉLÉRAT", "rotten"] and got[0].predicted == 1
+    item = " ".join(["Kelvin", "ÄRGER", "STRAẞE", "ΟΔΟΣ", "ÉCOLE", "İstanbul"] * 4)
+    copies = [f"{before} {' '.join(ODD.get(w, w) for w in item.split())} tail" for before in ("plain", "\u212a İ ẞ")]
+    found = dec.contamination(docs_of(list(enumerate(copies))), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted((r.row_key, round(r.score, 6)) for r in found) == [(0, 1.0), (1, 1.0)]
+    assert all(copies[r.row_key][r.start : r.end].endswith("istanbul") and copies[r.row_key][r.start :].startswith("\u212aelvin") for r in found)
+
+
+def test_toxicity_of_long_repeated_and_tied_rows(spark, docs_of):
+    """Long texts, repeated rows and rows of one id with several texts, in training and scoring."""
+    rows, labels = toxic_rows()
+    rows += [(9001, "word1 " * 200_000 + "rotten"), (9002, "x"), (9002, "x"), (9003, "a"), (9003, "b")]
+    table = spark.createDataFrame([*labels, (9001, 1, 1), (9002, 1, 0), (9003, 1, 0), (9003, 1, 0), (9003, 1, 1)], "doc_id long, quality int, toxic int")
+    field = tox.learn(docs_of(rows), table)
+    got = tox.toxicity(docs_of(rows), field).collect()
+    assert len(got) == len(rows)
+    long = next(r for r in got if r.doc_id == 9001)
+    assert [(s.start, s.end) for s in long.spans] == [(1_200_000, 1_200_006)]
+    assert len({r.score for r in got if r.doc_id == 9002}) == 1
+
+
+def test_toxicity_scores_by_brute_force(spark, docs_of):
+    """The query's scores from all labellings of short chains, and the field's own weights."""
+    rows, labels = toxic_rows(400)
+    field = tox.learn(docs_of(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    short = [(i, " ".join(t.split()[:9])) for i, t in rows[:60]] + [(900, "rotten VILE, word1 rotten")]
+    got = {r.doc_id: r for r in tox.toxicity(docs_of(short), field).collect()}
+    for i, t in short:
+        _, _, _, features = tox.token_features([tox.lowered(t.encode())])
+        found = field.find(features)
+        m, _ = chain_brute(field.emissions(found), field.globals)
+        cue = (found >= 0).any(axis=0)
+        clean = np.log(np.maximum(1 - m[cue], 1e-9)).sum()
+        odds = np.log(-np.expm1(min(clean, -1e-9))) - clean if clean < -1e-9 else np.log(1e-9)
+        want = 1 / (1 + np.exp(-(field.curve[0] + field.curve[1] * np.clip(odds, -12, 12))))
+        assert abs(got[i].score - want) < 1e-6 and got[i].predicted == int(got[i].score >= 0.7)
+        assert len(got[i].spans) == int((m[cue] >= 0.5).sum())
+
+
 # --- decontamination ---
 
 
@@ -235,7 +337,7 @@ def test_contamination_blocks_and_edges(spark, docs_of, monkeypatch):
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = docs_of([(i, t) for i, t in items] * 2)
     one = sorted(tuple(r) for r in dec.contamination(docs, bench).collect())
-    monkeypatch.setattr(dec.item_blocks, "__defaults__", (25,))
+    monkeypatch.setattr(dec.item_blocks, "__defaults__", (1, 25))
     assert sorted(tuple(r) for r in dec.contamination(docs, bench).collect()) == one and len(one) == 14
     assert dec.contamination(docs_of([]), bench).count() == 0 and dec.contamination(docs, bench.limit(0)).count() == 0
 
@@ -268,6 +370,41 @@ def test_contamination_with_other_typography(spark, docs_of):
     assert [r.score for r in got] == [1.0] and text[got[0].start : got[0].end] == text[8:-1]
 
 
+def test_recall_of_seeds(spark, docs_of):
+    """Edited copies of items of 8 to 50 words, up to 30 % of whose words are replaced, in texts of frequent words."""
+    rng = random.Random(12)
+    vocab, weights = [f"w{i}" for i in range(3000)], [1 / (i + 1) for i in range(3000)]
+    say = lambda n: " ".join(rng.choices(vocab, weights, k=n))
+    items, docs, want = [], [], set()
+    for k, (size, share) in enumerate(product([*range(8, 51, 2)] * 3, [0.1, 0.2, 0.25, 0.3])):
+        target = say(size).split()
+        edited = list(target)
+        for at in rng.sample(range(size), round(share * size)):
+            edited[at] = rng.choices(vocab, weights)[0]
+        doc = f"{say(40)} {' '.join(edited)} {say(40)}"
+        items.append((k, " ".join(target)))
+        docs.append((k, doc))
+        if sw_brute(target, doc.split()) / (2 * size) >= 0.5:
+            want.add(k)
+    got = {r.row_key for r in dec.contamination(docs_of(docs), spark.createDataFrame(items, "item_id long, text string"), min_words=8).collect() if r.row_key == r.item_id}
+    assert len(want) > 200 and got <= want and len(got) >= 0.97 * len(want)
+
+
+def test_short_items_are_no_evidence(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    bench = spark.createDataFrame([(1, "the"), (2, "x y"), (3, "one two three four five six seven")], "item_id long, text string")
+    assert dec.contamination(docs, bench, min_words=dec.EVIDENCE_WORDS).count() == 0
+
+
+def test_contamination_of_long_repeated_and_tied_rows(spark, docs_of):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    long = "filler words here " * 100_000 + item
+    docs = docs_of([(1, long), (2, f"{item} and {item}"), (3, item), (3, item)])
+    got = sorted(tuple(r) for r in dec.contamination(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect())
+    assert [r[:2] for r in got] == [(1, 7), (2, 7), (3, 7), (3, 7)] and all(r[2] == 1.0 for r in got)
+    assert got[0][3:] == (len(long) - len(item), len(long)) and got[1][3:] == (0, len(item))
+
+
 def letter_words(text):
     """Words with their offsets in bytes, by walking the characters."""
     out, at, open_, alone_before = [], 0, False, False
