@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.decontaminate import contamination
+from geoloom.llm.decontaminate import EVIDENCE_WORDS, contamination
 from geoloom.llm.language_id import UNKNOWN, held_out, identify, learn
 from geoloom.llm.line_dedup import line_dedup
 from geoloom.llm.packing import pack
@@ -41,9 +41,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item, edited copies too."""
+    """Drop documents that hold a benchmark item of at least ``EVIDENCE_WORDS`` words, edited copies too."""
     keyed = docs.select(*COLUMNS, F.xxhash64(F.coalesce("text", F.lit(""))).alias("__key"))
-    leaks = contamination(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="__key").select(F.col("row_key").alias("__key")).distinct()
+    leaks = contamination(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="__key", min_words=EVIDENCE_WORDS).select(F.col("row_key").alias("__key")).distinct()
     return keyed.join(leaks, "__key", "left_anti").select(*COLUMNS)
 
 
