@@ -12,22 +12,24 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``(node, root)`` for every node of ``edges(a, b)``, root being the component's smallest node.
 
     Each round rewires nodes to the smallest neighbour they know; the number of
-    rounds grows with the logarithm of the longest path.  A hub's edges are only
-    pre-aggregated and joined, so they need not meet in one task.  Every round is
-    written to the shared folder.
+    rounds grows with the logarithm of the longest path.  A component's root is a hub with
+    as many edges as the component has nodes.  They are only pre-aggregated and joined, and
+    the smallest neighbours are tables of their own: both sides of the joins then have an exchange,
+    and Spark can split a hub between tasks.  Every round is written to the shared folder.
     """
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
     for _ in range(rounds):
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
+        low = materialize(both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")), "lows")
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
         large = materialize(large, "edges")
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
+        drop(low)
+        low = materialize(large.groupBy("a").agg(F.min("b").alias("low")), "lows")
         small = large.join(low, "a").select("a", "b", "low")
         small = small.where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b"))).distinct()
         small = materialize(small, "edges")
-        drop(now, large)
+        drop(now, large, low)
         now = small
         mark = now.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long")), F.bit_xor(F.xxhash64("a", "b"))).first()
         if mark == seen:

@@ -154,7 +154,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
     member = groups(fps, most)
     lows = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    lowest = member.join(lows, "fp").groupBy("root").agg(F.min("low").alias("component_id"))
+    lowest = materialize(member.join(lows, "fp").groupBy("root").agg(F.min("low").alias("component_id")), "lowest")  # a table, so that Spark can split a large component below
     byfp = member.join(lowest, "root").select("fp", "component_id")
     return fps.join(byfp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
