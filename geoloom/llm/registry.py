@@ -91,6 +91,25 @@ ORACLES = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM judged GROUP BY doc_id
     """,
+    "op4_substring_dedup": r"""
+        WITH w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+        ),
+        begins AS (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS i FROM w WHERE len(words) >= 35),
+        windows AS (SELECT doc_id, i, array_to_string(list_slice(words, i, i + 34), ' ') AS run FROM begins),
+        again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY run) AS n FROM windows) WHERE n > 1),
+        each AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w),
+        marked AS (
+            SELECT e.doc_id, e.i, e.word, coalesce(max(a.i) OVER (PARTITION BY e.doc_id ORDER BY e.i) >= e.i - 34, false) AS gone
+            FROM each e LEFT JOIN again a ON a.doc_id = e.doc_id AND a.i = e.i
+        ),
+        kept AS (
+            SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS line
+            FROM marked GROUP BY doc_id
+        )
+        SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(line, '')) AS kept_sha256
+        FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
+    """,
     "op7_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
         d AS (SELECT page_id, body, octet_length(encode(body)) AS payload_bytes, CAST(CAST(unhex(sha1(body)) AS BIT) AS VARCHAR) AS bits FROM p),

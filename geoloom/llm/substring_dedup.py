@@ -5,7 +5,7 @@ minimiser, the leftmost of their ``k``-mers of least hash, at the same place.  T
 so chosen are the edges kept of the token de Bruijn graph (about one word in thirteen);
 consecutive windows of a document with one minimiser are one *path*: the words from the
 first window's start to the last one's end.  A path has an edge hash and a hash of all its
-words, 128 bits together.
+words, both made of its words' 64-bit hashes.
 
 1. A scan emits (edge, path) for every text; a grouped count, combined on the map side,
    keeps edges that occur at least twice.  An edge with a single path is nonbranching and
@@ -18,7 +18,7 @@ words, 128 bits together.
 4. The paths' coordinates receive those bitmaps by a join, go to their documents, and an
    Arrow pass removes the covered words.
 
-Hot paths are only counted and joined, never gathered.
+Hot paths are only counted and joined, never gathered, and the joins have an exchange on both sides.
 """
 
 from __future__ import annotations
@@ -169,6 +169,7 @@ def repeated_paths(docs: DataFrame, window: int, k: int, bits: int) -> DataFrame
     simple = distinct.where("n > 1").select("edge", "path", every.alias("bits"))
     cut = distinct.where("branching").select("edge", "path", "n", F.posexplode("windows").alias("j", "word_run"))
     twice = cut.groupBy("edge", "word_run").agg(F.sum("n").alias("copies")).where("copies > 1").select("edge", "word_run")
+    twice = materialize(twice, "repeated-windows")  # as a table of its own the join below has two exchanges, and Spark can split a hot window
     once = cut.where("n = 1").join(twice, ["edge", "word_run"]).groupBy("edge", "path").agg(F.expr("bit_or(1L << j)").alias("bits"))
     verdict = simple.unionByName(once)
     return found.select("doc_id", "body", "start", "edge", "path").join(verdict, ["edge", "path"]).select("doc_id", "body", "start", "bits")
