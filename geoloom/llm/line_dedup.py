@@ -113,7 +113,7 @@ def repeated_keys(docs: DataFrame, min_chars: int, bits: int) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     parts = docs.select("text").mapInArrow(bitmap_builder(_filter_keys(min_chars), bits), SCHEMA)
     shared = sc.broadcast(collect_bitmap(parts, bits, "twice").tobytes())
-    found = docs.select("doc_id", "body", "text").mapInArrow(_suspects(shared, min_chars), "k1 long, k2 long, doc_id long, body long")
+    found = materialize(docs.select("doc_id", "body", "text").mapInArrow(_suspects(shared, min_chars), "k1 long, k2 long, doc_id long, body long"), "suspect-lines")
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
     first = found.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("k1", "k2", "first")
     first = materialize(first, "first-lines")  # as a table of its own the join below has two exchanges, and Spark can split a hot line
