@@ -10,12 +10,15 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from geoloom.llm import bloom, simhash
+from geoloom.llm import bloom, components, simhash
+from geoloom.llm import line_dedup as lines
+from geoloom.llm import substring_dedup as substrings
 from geoloom.llm.components import connected_components
 from geoloom.llm.exact_dedup import exact_dedup, frequent, misra_gries
 from geoloom.llm.line_dedup import line_dedup
 from geoloom.llm.substring_dedup import substring_dedup
 from geoloom.llm.textkit import run_hash, run_sums, word_bounds, word_hashes
+from tests.llm.plans import merge_joins
 
 WORDS = [f"w{i}é" if i % 7 == 0 else f"w{i}" for i in range(400)]
 
@@ -254,6 +257,38 @@ def test_near_duplicate_edges(docs_of):
     assert sorted(str(r.doc_id) for r in simhash.one_of_each(docs_of(rows)).collect()) == ["7", "None"]
 
 
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def staged(monkeypatch, module, *names):
+    """The joins of the frames that a module stages under these names, as it runs."""
+    found, real = [], module.materialize
+
+    def look(df, name, *more):
+        if name in names:
+            found.extend(merge_joins(df))
+        return real(df, name, *more)
+
+    monkeypatch.setattr(module, "materialize", look)
+    return found
+
+
+def test_hot_keys_can_be_split(docs_of, no_broadcast, monkeypatch):
+    """Joins on keys that may be hot have an exchange on both sides."""
+    rounds = staged(monkeypatch, components, "edges")
+    df = docs_of(corpus(5))
+    last = merge_joins(simhash.near_duplicates(df))
+    assert len(rounds) >= 2 and all(a and b for a, b in rounds) and last and all(a and b for a, b in last)
+    windows = merge_joins(substrings.repeated_paths(df.selectExpr("doc_id", "xxhash64(text) AS body", "text"), 35, 10, 1 << 20))
+    assert len(windows) >= 2 and windows.count((True, True)) >= 2
+    firsts = merge_joins(lines.repeated_keys(df.selectExpr("doc_id", "xxhash64(text) AS body", "text"), 10, 1 << 20))
+    assert firsts == [(True, True)]
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.integers(0, 10**6))
 def test_components(spark, seed):
