@@ -67,7 +67,7 @@ class Porter:
 
     @classmethod
     def double_end(cls, w: str) -> bool:
-        return len(w) >= 2 and w[-1] == w[-2] and not cls.vowel(w, len(w) - 1)
+        return len(w) >= 2 and w[-1] == w[-2] and w[-1] not in "aeiou"
 
     @classmethod
     def _longest(cls, w: str, rules: list[tuple[str, str]]) -> str:
@@ -81,11 +81,11 @@ class Porter:
     def stem(cls, w: str) -> str:
         if len(w.encode()) < 3:
             return w
-        if w.endswith("sses") or w.endswith("ies"):
+        if w.endswith(("sses", "ies")) and w not in ("sses", "ies"):
             w = w[:-2]
         elif w.endswith("s") and not w.endswith("ss"):
             w = w[:-1]
-        if w.endswith("eed"):
+        if w.endswith("eed") and len(w) > 3:
             w = w[:-1] if cls.measure(w[:-3]) > 0 else w
         else:
             for suffix in ("ed", "ing"):
