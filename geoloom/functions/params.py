@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_QUERY_BYTES = 200  # Fixed value.
+# Limits of requests, and the forms of codes.
+MAX_QUERY_BYTES = 200
+DEFAULT_LIMIT, MAX_LIMIT = 10, 40
+MAX_POPULATION = 10_000_000_000
+COUNTRY = "[A-Z]{2}"
+REGION = "[A-Z]{2}-[A-Z0-9]{1,3}"
 
 
-def limit(raw: Column, default: int = 10, most: int = 40) -> Column:
+def limit(raw: Column, default: int = DEFAULT_LIMIT, most: int = MAX_LIMIT) -> Column:
     """A requested whole number, the default if it is none, at most 40."""
     number = F.when(raw.rlike(r"^\+?\d+$"), raw.try_cast("bigint"))
     return F.least(F.coalesce(number, F.lit(default)), F.lit(most))
@@ -39,26 +44,56 @@ def point_error(lat: Column, lon: Column) -> Column:
 
 
 def is_country(code: Column) -> Column:
-    return F.coalesce(code.rlike("^[A-Z]{2}$"), F.lit(False))
+    return F.coalesce(code.rlike(f"^{COUNTRY}$"), F.lit(False))
 
 
 def is_region(code: Column) -> Column:
-    return F.coalesce(code.rlike("^[A-Z]{2}-[A-Z0-9]{1,3}$"), F.lit(False))
+    return F.coalesce(code.rlike(f"^{REGION}$"), F.lit(False))
+
+
+def _checked(value, good: bool, what: str):
+    if not good:
+        raise ValueError(f"{what}: {value!r}")
+    return value
 
 
 def checked_country(code: str) -> str:
-    if not re.fullmatch("[A-Z]{2}", code):
-        raise ValueError(f"not a country code: {code!r}")
-    return code
+    return _checked(code, re.fullmatch(COUNTRY, code) is not None, "not a country code")
 
 
 def checked_region(code: str) -> str:
-    if not re.fullmatch("[A-Z]{2}-[A-Z0-9]{1,3}", code):
-        raise ValueError(f"not a region code: {code!r}")
-    return code
+    return _checked(code, re.fullmatch(REGION, code) is not None, "not a region code")
 
 
 def checked_threshold(n: int) -> int:
-    if not 0 <= n <= 10_000_000_000:
-        raise ValueError(f"population threshold out of range: {n}")
-    return n
+    return _checked(n, 0 <= n <= MAX_POPULATION, "population threshold out of range")
+
+
+def query_pairs(url: Column) -> Column:
+    """An array of (key, value) of the query string in a URL: "+" is a space, bytes are percent-encoded; a key without "=" has an empty value."""
+    part = F.filter(F.split(F.substring_index(F.regexp_extract(url, r"\?(.*)$", 1), "#", 1), "&"), lambda x: x != "")
+    plain = lambda c: F.coalesce(F.try_url_decode(c), c)
+    return F.transform(part, lambda x: F.struct(plain(F.substring_index(x, "=", 1)).alias("key"), F.when(F.contains(x, F.lit("=")), plain(F.regexp_replace(x, "^[^=]*=", ""))).otherwise("").alias("value")))
+
+
+def param(pairs: Column, name: str) -> Column:
+    """The last value of a key, null without one."""
+    return F.try_element_at(F.filter(pairs, lambda p: p["key"] == name), F.lit(-1))["value"]
+
+
+def search_request(requests: DataFrame, url: str = "url") -> DataFrame:
+    """Queries from requests (request columns, url, header_country, header_lat, header_lon).
+
+    Adds text, error, limit, autocomplete, format ("geojson" or "json"), debug and the location: the coordinates of the URL
+    take the place of the header's if it has both, even if they cannot be read; the country is always the header's.
+    """
+    rows = requests.withColumn("__pairs", query_pairs(F.col(url)))
+    get = lambda name: param(F.col("__pairs"), name)
+    own = get("lat").isNotNull() & get("lon").isNotNull()
+    at = lambda name, header: F.when(own, get(name).try_cast("double")).otherwise(F.col(header).try_cast("double"))
+    added = {
+        "text": get("q"), "error": query_error(get("q")), "limit": limit(get("limit")), "autocomplete": flag(get("autocomplete"), True),
+        "format": F.when(get("format") == "geojson", "geojson").otherwise("json"), "debug": flag(get("debug"), False),
+        "bias_country": F.col("header_country"), "bias_lat": at("lat", "header_lat"), "bias_lon": at("lon", "header_lon"),
+    }
+    return rows.withColumns(added).drop("__pairs")

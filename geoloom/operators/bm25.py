@@ -1,7 +1,7 @@
 """Full-text search over an inverted index, ranked by BM25 within each shard.
 
-The index has two tables: postings (shard_id, term, doc_id, positions, doc_len) and shards (shard_id,
-docs, mean_length).  Query tokens meet postings in an equality join; a prefix token is first
+The index has three tables: postings (shard_id, term, doc_id, position, doc_len), documents (shard_id, doc_id,
+doc_len) and, counted from it, shards (shard_id, docs, mean_length).  Query tokens meet postings in an equality join; a prefix token is first
 expanded over the distinct terms by an equality join on its first letters.  Only postings of query
 terms are shuffled, by (query, shard, document).
 """
@@ -29,30 +29,58 @@ def stemmed(terms: DataFrame, column: str) -> DataFrame:
 @dataclass
 class TextIndex:
     postings: DataFrame
-    shards: DataFrame
+    documents: DataFrame
     stem: bool = False
 
+    @property
+    def shards(self) -> DataFrame:
+        """(shard_id, docs, mean_length)."""
+        return self.documents.groupBy("shard_id").agg(F.count(F.lit(1)).alias("docs"), F.avg("doc_len").alias("mean_length"))
+
     @classmethod
     def build(cls, docs: DataFrame, text: str = "search_text", doc: str = "doc_id", shard: str | None = "shard_id", stem: bool = False) -> TextIndex:
         """Index (shard, doc, text); without a shard column all documents are one shard.  Null texts are empty documents."""
         where = F.col(shard) if shard else F.lit("ALL")
         lists = docs.select(where.alias("shard_id"), F.col(doc).alias("doc_id"), F.coalesce(index_terms(F.col(text)), F.array().cast("array<string>")).alias("terms"))
-        shards = lists.groupBy("shard_id").agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("terms")).alias("mean_length"))
         # the length first: else every exploded row would carry the whole array
         sized = lists.select("shard_id", "doc_id", F.size("terms").alias("doc_len"), "terms")
         words = sized.select("shard_id", "doc_id", "doc_len", F.posexplode("terms").alias("position", "term"))
         if stem:
             words = stemmed(words, "term")
-        return cls(words, shards, stem)
+        return cls(words, sized.select("shard_id", "doc_id", "doc_len"), stem)
+
+    def without(self, ids: DataFrame) -> TextIndex:
+        """The index less the documents (shard_id, doc_id) in ``ids``; ids that it does not hold change nothing."""
+        gone = ids.select("shard_id", "doc_id").distinct()
+        keep = lambda t: t.join(gone, ["shard_id", "doc_id"], "left_anti")
+        return TextIndex(keep(self.postings), keep(self.documents), self.stem)
+
+    def updated(self, docs: DataFrame, text: str = "search_text", doc: str = "doc_id", shard: str = "shard_id") -> TextIndex:
+        """The index with these documents: those that it holds are replaced, the others added."""
+        new = TextIndex.build(docs, text, doc, shard, self.stem)
+        old = self.without(docs.select(F.col(shard).alias("shard_id"), F.col(doc).alias("doc_id")))
+        names = self.postings.columns
+        return TextIndex(old.postings.select(names).unionByName(new.postings.select(names)), old.documents.unionByName(new.documents), self.stem)
 
     def write(self, path: str) -> None:
         """Save the index; postings are range-partitioned and sorted by term, so that a term's rows lie together and row groups prune."""
         self.postings.repartitionByRange("shard_id", "term").sortWithinPartitions("shard_id", "term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-        self.shards.write.mode("overwrite").parquet(f"{path}/shards")
+        self.documents.repartitionByRange("shard_id", "doc_id").sortWithinPartitions("shard_id", "doc_id").write.mode("overwrite").parquet(f"{path}/documents")
+
+    def append(self, path: str) -> None:
+        """Add these documents, which must be new to it, to a saved index, as files of their own; :meth:`compact` merges them."""
+        self.postings.sortWithinPartitions("shard_id", "term", "doc_id").write.mode("append").parquet(f"{path}/postings")
+        self.documents.write.mode("append").parquet(f"{path}/documents")
+
+    @classmethod
+    def compact(cls, spark: SparkSession, path: str, to: str, stem: bool = False) -> TextIndex:
+        """Rewrite a saved index, with all that was appended, in order at another place; the old one stays until readers have moved."""
+        cls.read(spark, path, stem).write(to)
+        return cls.read(spark, to, stem)
 
     @classmethod
     def read(cls, spark: SparkSession, path: str, stem: bool = False) -> TextIndex:
-        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/shards"), stem)
+        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/documents"), stem)
 
 
 def query_phrases(queries: DataFrame, stem: bool = False) -> DataFrame:
@@ -70,10 +98,11 @@ def query_phrases(queries: DataFrame, stem: bool = False) -> DataFrame:
     return parts.withColumn("prefix", F.col("prefix") & (F.col("part") == F.col("parts") - 1))
 
 
-def match(queries: DataFrame, index: TextIndex, prefixes: bool = True) -> DataFrame:
+def match(queries: DataFrame, index: TextIndex, prefixes: bool = True, shards: DataFrame | None = None) -> DataFrame:
     """(query_id, shard_id, doc_id, bm25) for the documents that have all tokens of a query.
 
-    With ``prefixes`` off no query may ask for autocompletion, and the distinct terms are not read.
+    With ``prefixes`` off no query may ask for autocompletion, and the distinct terms are not read.  With ``shards``
+    (query_id, shard_id) a query reads the postings of its shards alone.
     """
     parts = query_phrases(queries, index.stem)
     exact = parts.where(~F.col("prefix"))
@@ -85,7 +114,10 @@ def match(queries: DataFrame, index: TextIndex, prefixes: bool = True) -> DataFr
     if prefixes:
         wanted = exact.unionByName(expanded)
 
-    hits = index.postings.join(wanted, "term").select("query_id", "shard_id", "doc_id", "token", "tokens", "parts", "doc_len", (F.col("position") - F.col("part")).alias("begin"))
+    place = ["term"]
+    if shards is not None:
+        wanted, place = wanted.join(shards.select("query_id", "shard_id").distinct(), "query_id"), ["shard_id", "term"]
+    hits = index.postings.join(wanted, place).select("query_id", "shard_id", "doc_id", "token", "tokens", "parts", "doc_len", (F.col("position") - F.col("part")).alias("begin"))
     # one shuffle serves the phrase, token and document counts below, and both uses of `counted`
     hits = hits.repartition("query_id", "shard_id", "doc_id")
     whole = hits.groupBy("query_id", "shard_id", "doc_id", "token", "tokens", "parts", "doc_len", "begin").agg(F.count(F.lit(1)).alias("found")).where("found = parts")

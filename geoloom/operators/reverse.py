@@ -19,6 +19,11 @@ def priority(subtype: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv]), F.lower(subtype))
 
 
+def division_type(raw: Column) -> Column:
+    """The place type in lower case, whatever the case given; null for an unknown one."""
+    return F.when(priority(raw).isNotNull(), F.lower(raw))
+
+
 def candidates(points: DataFrame, places: DataFrame, keep: int = CANDIDATES) -> DataFrame:
     """Places whose box holds a point (point_id, p_lat, p_lon): the ``keep`` smallest, then one row for each gers_id.
 

@@ -63,15 +63,18 @@ def region_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("country", "region").agg(F.count(F.lit(1)).alias("n")).select("country", region_shard(F.col("country"), F.col("region")).alias("region"), "n")
 
 
-def row_hash(df: DataFrame, key: str, columns: list[str], group: str = "shard_id") -> DataFrame:
+def row_hash(df: DataFrame, key: str, columns: list[str], group: str = "shard_id", digits: int = 4) -> DataFrame:
     """(group, rows_sha256): a hash of a group's rows that does not depend on files or partitions.
 
-    The rows' own hashes are hashed in order of the key, 64 characters a row, within the group.
+    A tree of two levels, so that a large group need not meet in one value: rows fall into 16 ** ``digits`` buckets by the
+    first digits of their key's hash; a bucket's hash is that of its rows' hashes in order of key, and the group's
+    that of its non-empty buckets' hashes in order.
     """
     line = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
-    rows = df.select(group, F.struct(F.col(key).alias("k"), F.sha2(line, 256).alias("h")).alias("row"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list("row")), lambda r: r["h"]), "")
-    return rows.groupBy(group).agg(F.sha2(joined, 256).alias("rows_sha256"))
+    rows = df.select(group, F.substring(F.sha2(F.col(key).cast("string"), 256), 1, digits).alias("bucket"), F.struct(F.col(key).alias("k"), F.sha2(line, 256).alias("h")).alias("row"))
+    joined = lambda c: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda r: r["h"]), ""), 256)
+    buckets = rows.groupBy(group, "bucket").agg(joined("row").alias("h"))
+    return buckets.select(group, F.struct(F.col("bucket").alias("k"), "h").alias("row")).groupBy(group).agg(joined("row").alias("rows_sha256"))
 
 
 def region_map(df: DataFrame) -> DataFrame:

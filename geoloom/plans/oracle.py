@@ -16,11 +16,13 @@ def tokens_sql(text: str) -> str:
     return rf"list_filter(regexp_split_to_array(lower(regexp_replace({text}, '[^\p{{L}}\p{{N}}\s-]', ' ', 'g')), '\s+'), lambda t: t <> '')"
 
 
-def bm25_sql(docs: str, queries: str) -> str:
+def bm25_sql(docs: str, queries: str, prefixes: bool = True) -> str:
     """CTEs ending in hits(query_id, shard_id, doc_id, bm25).
 
     ``docs`` names (shard_id, doc_id, text), ``queries`` (query_id, text, autocomplete); query tokens have no hyphens.
+    Without ``prefixes`` no query asks for autocompletion.
     """
+    loose = " OR (t.autocomplete AND t.i = t.n_tok - 1 AND starts_with(p.term, t.tok))" if prefixes else ""
     return f"""
     fts_docs AS (SELECT shard_id, doc_id, coalesce({terms_sql('text')}, []) AS terms FROM {docs}),
     fts_stats AS (SELECT shard_id, CAST(count(*) AS DOUBLE) AS n, avg(len(terms)) AS mean_len FROM fts_docs GROUP BY shard_id),
@@ -32,7 +34,7 @@ def bm25_sql(docs: str, queries: str) -> str:
     ),
     fts_tf AS (
         SELECT t.query_id, t.i, t.n_tok, p.shard_id, p.doc_id, p.dl, CAST(count(*) AS DOUBLE) AS tf
-        FROM fts_tok t JOIN fts_post p ON p.term = t.tok OR (t.autocomplete AND t.i = t.n_tok - 1 AND starts_with(p.term, t.tok))
+        FROM fts_tok t JOIN fts_post p ON p.term = t.tok{loose}
         GROUP BY ALL
     ),
     fts_df AS (SELECT query_id, i, shard_id, CAST(count(*) AS DOUBLE) AS df FROM fts_tf GROUP BY ALL),

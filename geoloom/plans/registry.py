@@ -15,7 +15,7 @@ from geoloom.operators.nearby import nearby
 from geoloom.operators.reverse import candidates, hierarchy, most_specific, reverse_sharded
 from geoloom.plans import search as forward
 from geoloom.plans.oracle import bm25_sql, tokens_sql
-from geoloom.plans.views import PLACES_SQL, POINTS_SQL, haversine_sql, places, points
+from geoloom.plans.views import NOUNS, PLACES_SQL, POINTS_SQL, WORDS, _choice, haversine_sql, places, points
 from geoloom.sources import catalog, output
 from geoloom.sources.readers import non_empty, parsed_response, read_table
 
@@ -103,7 +103,7 @@ def reverse_hierarchy(spark, sf_dir):
 @query(f"""
     WITH {PLACES_SQL}, {POINTS_SQL},
     sharded AS (
-        SELECT *, country AS shard_id FROM places WHERE key % 2 = 0
+        SELECT *, country AS shard_id FROM places
         UNION ALL SELECT *, 'HEAD' AS shard_id FROM places WHERE subtype IN ('country', 'region', 'county') OR coalesce(population >= 500000, false)
     ),
     found AS (
@@ -115,22 +115,23 @@ def reverse_hierarchy(spark, sf_dir):
     SELECT point_id, shard_id, gers_id, {CONFIDENCE_SQL} AS confidence FROM best WHERE k = 1""")
 def reverse_fallback_head(spark, sf_dir):
     p = places(spark, sf_dir)
-    local = p.where("key % 2 = 0").withColumn("shard_id", F.col("country"))
+    local = p.withColumn("shard_id", F.col("country"))
     head = p.where(shards.in_head(F.col("subtype"), F.col("population"), shards.HEAD_REVERSE, 500_000)).withColumn("shard_id", F.lit("HEAD"))
     return reverse_sharded(points(spark, sf_dir), _renamed(local.unionByName(head))).select("point_id", "shard_id", "gers_id", "confidence")
 
 
 # --- full-text search ---
 
-BENCH_SQL = r"bench AS (SELECT item_id AS query_id, array_to_string(list_slice(regexp_split_to_array(text, '\s+'), 1, 2), ' ') AS text, false AS autocomplete FROM benchmark)"
+BENCH_SQL = "bench AS (SELECT item_id AS query_id, replace(text, '-', ' ') AS text, false AS autocomplete FROM benchmark)"
 
 
 @query(f"""
-    WITH {BENCH_SQL}, corpus AS (SELECT lang AS shard_id, doc_id, text FROM documents), {bm25_sql('corpus', 'bench')},
+    WITH {BENCH_SQL}, corpus AS (SELECT lang AS shard_id, doc_id, text FROM documents), {bm25_sql('corpus', 'bench', False)},
     ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, shard_id ORDER BY round(bm25, 9), doc_id) AS rank FROM hits)
     SELECT query_id, shard_id, doc_id, round(bm25, 6) AS bm25, rank FROM ranked WHERE rank <= 10""")
 def fts_bm25_topk(spark, sf_dir):
-    q = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 2), " ").alias("text"), F.lit(False).alias("autocomplete"))
+    """The documents that have all words of a benchmark item."""
+    q = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.replace("text", F.lit("-"), F.lit(" ")).alias("text"), F.lit(False).alias("autocomplete"))
     index = TextIndex.build(read_table(spark, sf_dir, "documents"), "text", "doc_id", "lang")  # a shard for each language
     return search_text(q, index, 10, prefixes=False).select("query_id", "shard_id", "doc_id", r6("bm25"), "rank")
 
@@ -218,16 +219,17 @@ _bias("full", "C5", -33.9, 151.2)
 MERGE_SQL = f"""
     WITH {PLACES_SQL},
     two AS (
-        SELECT key % 20 AS query_id, gers_id, CAST(0 AS BIGINT) AS source_rank, CAST((key * 37) % 1000 AS DOUBLE) / 1000 AS importance FROM places WHERE key % 3 = 0
+        SELECT key % 20 AS query_id, gers_id, CAST(0 AS BIGINT) AS source_rank, CAST((key * 37) % 1000 AS DOUBLE) / 1000 AS importance FROM places WHERE subtype = 'county' OR coalesce(population >= 500000, false)
         UNION ALL
-        SELECT key % 20 AS query_id, gers_id, CAST(1 AS BIGINT) AS source_rank, CAST((key * 53) % 1000 AS DOUBLE) / 1000 AS importance FROM places WHERE key % 2 = 0
+        SELECT key % 20 AS query_id, gers_id, CAST(1 AS BIGINT) AS source_rank, CAST((key * 53) % 1000 AS DOUBLE) / 1000 AS importance FROM places
     )"""
 
 
 def _two(spark, sf_dir):
+    """Results from HEAD and from the country shards, which hold every place."""
     p = places(spark, sf_dir)
-    side = lambda keep, rank, by: p.where(F.col("key") % keep == 0).select((F.col("key") % 20).alias("query_id"), "gers_id", F.lit(rank).cast("long").alias("source_rank"), (((F.col("key") * by) % 1000).cast("double") / 1000).alias("importance"))
-    return side(3, 0, 37).unionByName(side(2, 1, 53))
+    side = lambda rows, rank, by: rows.select((F.col("key") % 20).alias("query_id"), "gers_id", F.lit(rank).cast("long").alias("source_rank"), (((F.col("key") * by) % 1000).cast("double") / 1000).alias("importance"))
+    return side(p.where(shards.in_head(F.col("subtype"), F.col("population"), shards.HEAD_FORWARD, 500_000)), 0, 37).unionByName(side(p, 1, 53))
 
 
 def _merge_sql(order: str) -> str:
@@ -250,19 +252,23 @@ def merge_head_first(spark, sf_dir):
 # --- search end to end ---
 
 
-def _ranked_sql(places_cte: str) -> str:
-    """From hits, queries and places to ranked results, as plans.search does it for one shard."""
+def _ranked_sql(places_cte: str, loaded: str | None = None) -> str:
+    """From hits, queries and places to ranked results, as plans.search does it: for one shard, or for the ``loaded`` shards of each query."""
+    source, also = ("0", "") if loaded is None else ("c.source_rank", " AND c.shard_id = p.shard_id")
+    of = "" if loaded is None else f" JOIN (SELECT query_id, shard_id, nth AS source_rank FROM {loaded}) USING (query_id, shard_id)"
+    cut = "h.*" if loaded is None else "h.*, source_rank"
+    one = "scored" if loaded is None else "(SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id, gers_id ORDER BY round(base, 9) DESC, source_rank, nth) = 1)"
     return rf"""
-    cut AS (SELECT h.*, row_number() OVER (PARTITION BY query_id, shard_id ORDER BY round(bm25, 9), doc_id) AS nth FROM hits h),
+    cut AS (SELECT {cut}, row_number() OVER (PARTITION BY query_id, shard_id ORDER BY round(bm25, 9), doc_id) AS nth FROM hits h{of}),
     scored AS (
-        SELECT c.query_id, c.nth, p.*, q.text AS query, q.bias_country, q.bias_lat, q.bias_lon,
+        SELECT c.query_id, c.nth, {source} AS source_rank, p.*, q.text AS query, q.bias_country, q.bias_lat, q.bias_lon,
                greatest(0.0, least(1.0, -(CASE WHEN p.population > 0 THEN bm25 - 2 * ln(p.population + 1.0) ELSE bm25 - 2.0 END) / 50)) AS base
-        FROM cut c JOIN {places_cte} p ON c.doc_id = p.gers_id JOIN queries q ON q.query_id = c.query_id WHERE nth <= 100
+        FROM cut c JOIN {places_cte} p ON c.doc_id = p.gers_id{also} JOIN queries q ON q.query_id = c.query_id WHERE nth <= 100
     ),
     bonused AS (
         SELECT *, CASE WHEN len(list_filter(list_filter(regexp_split_to_array(lower(query), '[\s,]+'), lambda x: x <> ''),
                    lambda x: starts_with(lower(name), x) AND substr(lower(name), length(x) + 1, 1) IN ('', ',', ' '))) > 0
-                   THEN least(1.0, base + 0.1) ELSE base END AS bonus FROM scored
+                   THEN least(1.0, base + 0.1) ELSE base END AS bonus FROM {one}
     ),
     final AS (
         SELECT *, CASE
@@ -273,7 +279,7 @@ def _ranked_sql(places_cte: str) -> str:
             ELSE bonus END AS importance FROM bonused
     ),
     ranked AS (
-        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(importance, 9) DESC, round(bonus, 9) DESC, round(base, 9) DESC, nth, gers_id) AS rank FROM final
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(importance, 9) DESC, round(bonus, 9) DESC, round(base, 9) DESC, source_rank, nth, gers_id) AS rank FROM final
     )"""
 
 
@@ -297,18 +303,19 @@ def search_end_to_end(spark, sf_dir):
 
 
 @query(f"""
-    WITH {PLACES_SQL}, queries AS (SELECT p_partkey AS query_id, replace(replace(p_name, 'red', 'old'), 'blue', 'new') AS text, true AS autocomplete,
-                                          NULL AS bias_country, CAST(NULL AS DOUBLE) AS bias_lat, CAST(NULL AS DOUBLE) AS bias_lon FROM part WHERE p_name LIKE 'red %' OR p_name LIKE 'blue %'),
-    short AS (SELECT query_id, string_split(text, ' ')[1] AS text, autocomplete, bias_country, bias_lat, bias_lon FROM queries),
+    WITH {PLACES_SQL}, queries AS (SELECT p_partkey AS query_id, {_choice(WORDS, 'p_partkey % 11')} || ' ' || {_choice(NOUNS, 'p_partkey % 7')} || CASE WHEN p_size > 25 THEN ' c' || CAST(p_size % 25 AS VARCHAR) ELSE '' END AS text, false AS autocomplete,
+                                          NULL AS bias_country, CAST(NULL AS DOUBLE) AS bias_lat, CAST(NULL AS DOUBLE) AS bias_lon FROM part),
     corpus AS (SELECT 'ALL' AS shard_id, gers_id AS doc_id, search_text AS text FROM places),
-    {bm25_sql('corpus', 'short')}, {_ranked_sql('places').replace('JOIN queries q', 'JOIN short q')}
+    {bm25_sql('corpus', 'queries', False)}, {_ranked_sql('places')}
     SELECT query_id, gers_id, round(importance, 6) AS importance FROM ranked WHERE rank = 1""")
 def batch_first_hit(spark, sf_dir):
+    """Every part asks for a place by a name made of its key, and for some of a country by its size."""
     p = places(spark, sf_dir).withColumn("shard_id", F.lit("ALL"))
-    part = read_table(spark, sf_dir, "part").where("p_name LIKE 'red %' OR p_name LIKE 'blue %'")
-    text = F.split(F.replace(F.replace("p_name", F.lit("red"), F.lit("old")), F.lit("blue"), F.lit("new")), " ")[0]
-    q = part.select(F.col("p_partkey").alias("query_id"), text.alias("text"))
-    distinct = q.select(F.xxhash64("text").alias("query_id"), "text").distinct()
+    of = lambda values, by: F.element_at(F.array(*map(F.lit, values)), (by + 1).cast("int"))
+    country = F.when(F.col("p_size") > 25, F.concat(F.lit("c"), (F.col("p_size") % 25).cast("string")))
+    text = F.concat_ws(" ", of(WORDS, F.col("p_partkey") % 11), of(NOUNS, F.col("p_partkey") % 7), country)
+    q = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), text.alias("text"))
+    distinct = q.select(F.xxhash64("text").alias("query_id"), "text", F.lit(False).alias("autocomplete")).distinct()
     hits = forward.first_hits(distinct, _index(p), p.drop("search_text"))
     return q.select("query_id", F.xxhash64("text").alias("h")).join(hits.select(F.col("query_id").alias("h"), "gers_id", r6("importance")), "h").drop("h")
 
@@ -394,7 +401,7 @@ def select_shards_country(spark, sf_dir):
     return shards.shards_of_country(points(spark, sf_dir), places(spark, sf_dir), stats)
 
 
-@query(f"""{SHARDS_SQL}, {SEARCHES_SQL},
+LOADED_SQL = f"""
     counts AS (SELECT country, coalesce(region, country || '-XX') AS shard_id, count(*) AS n FROM places WHERE country IN (SELECT country FROM big) GROUP BY ALL),
     k AS (SELECT country, shard_id, row_number() OVER (PARTITION BY country ORDER BY n DESC, shard_id) AS rank FROM counts),
     known AS (SELECT * FROM k WHERE rank <= 4 UNION ALL SELECT shard_id, shard_id, 1 FROM stats WHERE shard_id IN (SELECT country FROM places)),
@@ -407,7 +414,10 @@ def select_shards_country(spark, sf_dir):
         SELECT query_id, 'HEAD' AS shard_id, 0 AS nth FROM queries
         UNION ALL SELECT query_id, shard_id, rank FROM near WHERE rank <= 4
         UNION ALL SELECT query_id, shard_id, rank FROM queries JOIN known ON bias_country = country WHERE bias_lat IS NULL OR bias_lon IS NULL
-    )
+    )"""
+
+
+@query(f"""{SHARDS_SQL}, {SEARCHES_SQL}, {LOADED_SQL}
     SELECT query_id, CAST(nth AS BIGINT) AS source_rank, shard_id, record_count, size_bytes FROM loaded JOIN stats USING (shard_id)""")
 def search_debug_shards(spark, sf_dir):
     p = _assigned(spark, sf_dir)
@@ -424,8 +434,9 @@ def region_sharded_map(spark, sf_dir):
 
 
 @query(f"""
-    WITH {PLACES_SQL}, h AS (SELECT country, gers_id, sha256(concat_ws('|', gers_id, name, coalesce(CAST(population AS VARCHAR), ''))) AS h FROM places)
-    SELECT country, sha256(string_agg(h, '' ORDER BY gers_id)) AS rows_sha256 FROM h GROUP BY country""")
+    WITH {PLACES_SQL}, h AS (SELECT country, gers_id, substr(sha256(gers_id), 1, 4) AS bucket, sha256(concat_ws('|', gers_id, name, coalesce(CAST(population AS VARCHAR), ''))) AS h FROM places),
+    buckets AS (SELECT country, bucket, sha256(string_agg(h, '' ORDER BY gers_id)) AS h FROM h GROUP BY country, bucket)
+    SELECT country, sha256(string_agg(h, '' ORDER BY bucket)) AS rows_sha256 FROM buckets GROUP BY country""")
 def shard_row_hash(spark, sf_dir):
     return shards.row_hash(places(spark, sf_dir), "gers_id", ["gers_id", "name", "population"], "country")
 
@@ -651,6 +662,11 @@ def _pick_sql(values: tuple, by: int) -> str:
     return f"list_extract([{', '.join(map(_lit, values))}], CAST(event_id // {by} % {len(values)} + 1 AS INT))"
 
 
+def pick(values: tuple, by: int):
+    """A value for each event, in turn."""
+    return F.element_at(F.array(*(F.lit(v).cast("string") for v in values)), (F.floor(F.col("event_id") / by) % len(values) + 1).cast("int"))
+
+
 @query(rf"""
     WITH raw AS (SELECT event_id, {_pick_sql(LIMITS, 1)} AS lim, {_pick_sql(FLAGS, 2)} AS flag, {_pick_sql(SPOTS, 1)} AS lat, {_pick_sql(SPOTS, 3)} AS lon, {_pick_sql(CODES, 1)} AS code, repeat(event_type, CAST(event_id % 60 AS INT)) AS q FROM events)
     SELECT event_id, least(coalesce(CASE WHEN regexp_full_match(lim, '\+?\d+') THEN TRY_CAST(lim AS BIGINT) END, 10), 40) AS lim, coalesce(flag IN ('1', 'true'), true) AS autocomplete,
@@ -658,7 +674,6 @@ def _pick_sql(values: tuple, by: int) -> str:
            CASE WHEN TRY_CAST(lat AS DOUBLE) IS NULL THEN 'bad lat' WHEN TRY_CAST(lon AS DOUBLE) IS NULL THEN 'bad lon' WHEN NOT TRY_CAST(lat AS DOUBLE) BETWEEN -90 AND 90 THEN 'lat out of range' WHEN NOT TRY_CAST(lon AS DOUBLE) BETWEEN -180 AND 180 THEN 'lon out of range' END AS point_error,
            coalesce(regexp_full_match(code, '[A-Z]{{2}}'), false) AS is_country, coalesce(regexp_full_match(code, '[A-Z]{{2}}-[A-Z0-9]{{1,3}}'), false) AS is_region FROM raw""")
 def param_validation(spark, sf_dir):
-    pick = lambda values, by: F.element_at(F.array(*(F.lit(v).cast("string") for v in values)), (F.floor(F.col("event_id") / by) % len(values) + 1).cast("int"))
     raw = read_table(spark, sf_dir, "events").select("event_id", pick(LIMITS, 1).alias("lim"), pick(FLAGS, 2).alias("flag"), pick(SPOTS, 1).alias("lat"), pick(SPOTS, 3).alias("lon"), pick(CODES, 1).alias("code"), F.expr("repeat(event_type, CAST(event_id % 60 AS INT))").alias("q"))
     c = F.col
     return raw.select("event_id", params.limit(c("lim")).alias("lim"), params.flag(c("flag"), True).alias("autocomplete"), params.query_error(c("q")).alias("query_error"), params.point_error(c("lat"), c("lon")).alias("point_error"), params.is_country(c("code")).alias("is_country"), params.is_region(c("code")).alias("is_region"))

@@ -34,7 +34,7 @@ def fetch_limit(limit: Column) -> Column:
 
 def scored_candidates(queries: DataFrame, index: TextIndex, places: DataFrame, shards: DataFrame | None = None) -> DataFrame:
     """Candidates with importance: each query's best of each shard, or of the shards (query_id, shard_id, source_rank) given for it."""
-    hits = match(queries, index).withColumnRenamed("doc_id", "gers_id")
+    hits = match(queries, index, shards=shards).withColumnRenamed("doc_id", "gers_id")
     if shards is None:
         hits = hits.withColumn("source_rank", F.lit(0).cast("long"))
     else:
@@ -71,11 +71,20 @@ def query_shards(queries: DataFrame, places: DataFrame, catalog: DataFrame) -> D
 
 
 def search_sharded(queries: DataFrame, catalog: DataFrame, index: TextIndex, places: DataFrame) -> DataFrame:
-    """Ranked results over HEAD and the shards chosen by each query's location."""
+    """Ranked results over HEAD and the shards chosen by each query's location.
+
+    Only the postings of those shards are read.  Without HEAD there is no answer (an error); another shard that the catalog
+    names but the index lacks is passed over, and :func:`missing_shards` tells which.
+    """
     queries = with_defaults(queries)
     return ranked(scored_candidates(queries, index, places, query_shards(queries, places, catalog)))
 
 
+def missing_shards(queries: DataFrame, catalog: DataFrame, index: TextIndex, places: DataFrame) -> DataFrame:
+    """(query_id, shard_id) of the chosen shards that the index does not hold."""
+    return query_shards(with_defaults(queries), places, catalog).join(index.shards, "shard_id", "left_anti").select("query_id", "shard_id")
+
+
 def debug_shards(queries: DataFrame, places: DataFrame, catalog: DataFrame) -> DataFrame:
     """(query_id, debug): the location and the loaded shards with their sizes, in load order."""
     queries = with_defaults(queries)

@@ -8,7 +8,10 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-STAC_VERSION = "1.1.0"  # Fixed value.
+# The version of the format, and the keys by which readers find things in a document: links with rel, href, type and
+# latest; items with record_count, size_bytes, sha256, href, bbox and parent_country; summaries with shard_count, total_records and
+# total_size_bytes; region_sharded.
+STAC_VERSION = "1.1.0"
 LINKS = "array<struct<rel:string,href:string,latest:boolean>>"
 
 
@@ -82,6 +85,19 @@ def build_version(now: datetime | None = None) -> str:
     return f"{now or datetime.now(UTC):%Y-%m-%d}.0"
 
 
+def _link(rel: str, href: str, **more) -> dict:
+    """A link to another document of the catalog."""
+    return {"rel": rel, "href": href, "type": "application/json", **more}
+
+
+def published_versions(spark: SparkSession, path: str) -> list[str]:
+    """The versions that a root document names; none where there is no such file."""
+    file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(file):
+        return []
+    return [r["version"] for r in all_versions(read_catalog(spark, path)).collect()]  # one a version
+
+
 def collection_document(version: str, shards: list[dict], regions: dict[str, list[str]] | None = None, now: datetime | None = None) -> dict:
     """A collection from rows of shard statistics, at most a few hundred of them."""
     items = {}
@@ -94,11 +110,11 @@ def collection_document(version: str, shards: list[dict], regions: dict[str, lis
         "type": "Collection",
         "stac_version": STAC_VERSION,
         "id": f"places-{version}",
-        "description": "Searchable shards of places",
+        "description": f"Places of version {version}, by shard",
         "extent": {"spatial": {"bbox": [[-180.0, -90.0, 180.0, 90.0]]}, "temporal": {"interval": [[(now or datetime.now(UTC)).isoformat(), None]]}},
         "summaries": {"shard_count": len(items), "total_records": sum(x["record_count"] for x in items.values()), "total_size_bytes": sum(x["size_bytes"] for x in items.values())},
         "items": items,
-        "links": [{"rel": rel, "href": href, "type": "application/json"} for rel, href in (("root", "../catalog.json"), ("parent", "../catalog.json"), ("self", "./collection.json"))],
+        "links": [_link("root", "../catalog.json"), _link("parent", "../catalog.json")],
     }
     return out | ({"region_sharded": regions} if regions else {})
 
@@ -112,8 +128,10 @@ def item_document(shard: dict, now: datetime | None = None) -> dict:
 
 
 def catalog_document(versions: list[str], latest: str) -> dict:
-    children = [{"rel": "child", "href": f"./{v}/collection.json", "type": "application/json"} | ({"latest": True} if v == latest else {}) for v in sorted(set(versions), reverse=True)]
-    return {"type": "Catalog", "stac_version": STAC_VERSION, "id": "places", "description": "Versions of the place shards", "links": [{"rel": "root", "href": "./catalog.json", "type": "application/json"}, *children]}
+    """The root, which points at every version's collection, the newest first, and marks the latest."""
+    newest = sorted({*versions, latest}, reverse=True)
+    links = [_link("child", f"./{v}/collection.json", **({"latest": True} if v == latest else {})) for v in newest]
+    return {"type": "Catalog", "stac_version": STAC_VERSION, "id": "places", "description": f"{len(newest)} versions of the places' shards", "links": links}
 
 
 def write_json(spark: SparkSession, path: str, document: dict) -> None:
@@ -129,9 +147,15 @@ def write_json(spark: SparkSession, path: str, document: dict) -> None:
     fs.rename(draft, target)
 
 
+def publish_shards(spark: SparkSession, root: str, version: str, places: DataFrame, stats: DataFrame, folder: str = "shards", regions: dict[str, list[str]] | None = None) -> None:
+    """Write shards and then their collection."""
+    places.repartitionByRange("shard_id", "gers_id").sortWithinPartitions("shard_id", "gers_id").write.mode("overwrite").option("compression", "zstd").partitionBy("shard_id").parquet(f"{root}/{version}/{folder}")
+    rows = [r.asDict() for r in stats.collect()]  # one row a shard
+    name = "collection.json" if folder == "shards" else f"{folder}-collection.json"
+    write_json(spark, f"{root}/{version}/{name}", collection_document(version, rows, regions))
+
+
 def publish(spark: SparkSession, root: str, version: str, places: DataFrame, stats: DataFrame, versions: list[str], regions: dict[str, list[str]] | None = None) -> None:
     """Write shards, then the collection, and last the root that points at it, so readers never see a version in part."""
-    places.repartitionByRange("shard_id", "gers_id").sortWithinPartitions("shard_id", "gers_id").write.mode("overwrite").option("compression", "zstd").partitionBy("shard_id").parquet(f"{root}/{version}/shards")
-    rows = [r.asDict() for r in stats.collect()]
-    write_json(spark, f"{root}/{version}/collection.json", collection_document(version, rows, regions))
+    publish_shards(spark, root, version, places, stats, "shards", regions)
     write_json(spark, f"{root}/catalog.json", catalog_document([*versions, version], version))

@@ -19,6 +19,30 @@ ANONYMOUS_STORE = {
 }
 
 
+def anonymous(builder: SparkSession.Builder, memory: str | None = None, threads: int | None = None) -> SparkSession.Builder:
+    """A session builder that reads the public store without credentials, with the driver's memory and the threads of a local master."""
+    for key, value in ANONYMOUS_STORE.items():
+        builder = builder.config(key, value)
+    if memory:
+        builder = builder.config("spark.driver.memory", memory)
+    return builder.master(f"local[{threads}]") if threads else builder
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Drop what the session has cached of the files under a path, so that the next read sees them as they are."""
+    spark.catalog.refreshByPath(path)
+
+
+def some_rows(df: DataFrame, n: int = 5) -> DataFrame:
+    """Any ``n`` rows, for a look at a table."""
+    return df.limit(n)
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(path, sha256) of the files under a path, each read whole by one task."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+
+
 def release_path(root: str, release: str, theme: str, kind: str) -> str:
     """The folder of one type of one release, laid out as theme=/type=."""
     return f"{root.rstrip('/')}/{release}/theme={theme}/type={kind}"

@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+import geoloom.plans.service  # noqa: F401  registers its queries
 from geoloom.plans.registry import ORACLES, QUERIES
 
 KINDS = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "int": "INTEGER"}
