@@ -18,6 +18,7 @@ from hypothesis import strategies as st
 from geoloom.llm import packing, warc
 from geoloom.llm.registry import ORACLES, QUERIES
 from geoloom.llm.tokens import default_vocabulary, encoder
+from tests.llm.plans import merge_joins
 
 PAGES = "page_id long, url string, html string"
 
@@ -56,6 +57,61 @@ def test_captures(spark, tmp_path):
     assert got["http://a/"].metadata.fields["refers-to-page-id"] == "2" and got["http://a/"].request is not None
 
 
+def test_archives_are_as_other_tools_expect(spark, tmp_path):
+    """Each record a member of its own, real request lines, and revisits that name their response."""
+    long = "é<p>" * 2_000_000
+    rows = [(1, "http://a.org/x/y?z=1", "same"), (2, "https://u@b.org:8080", "same"), (3, None, long), (4, "http://c/", long), (5, "http://d/", "twice"), (5, "http://d/", "twice"), (6, "http://e/", "x")]
+    clash = [(*r, "clash", "clash") for r in rows]
+    warc.write_warc(spark.createDataFrame(clash, PAGES + ", sha string, best string").repartition(2), f"{tmp_path}/w", records_per_file=4)
+    files = sorted(p for p in (tmp_path / "w").iterdir() if p.name.startswith("part-"))
+    assert len(files) >= 6
+    members = 0
+    for f in files:
+        data = f.read_bytes()
+        while data:
+            member = zlib.decompressobj(31)
+            record = member.decompress(data) + member.flush()
+            assert member.eof and (not record or record.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n") and record.count(b"WARC-Record-ID:") == 1)
+            members += bool(record)
+            data = member.unused_data
+    assert members == 3 * len(rows)
+    whole, split = (sorted(str(r) for r in f(spark, f"{tmp_path}/w").collect()) for f in (warc.read_warc, warc.read_members))
+    assert whole == split and len(whole) == members
+    records = warc.read_members(spark, f"{tmp_path}/w").collect()
+    by_id = {r.record_id: r for r in records}
+    assert len(by_id) == len(records)
+    for r in records:
+        if r.kind == "revisit":
+            assert by_id[r.refers_to].target_uri == r.refers_to_uri and by_id[r.refers_to].payload_digest == r.payload_digest
+    heads = b"".join(gzip.decompress(f.read_bytes()) for f in files)
+    assert b"GET /x/y?z=1 HTTP/1.1\r\nHost: a.org\r\n" in heads and b"GET / HTTP/1.1\r\nHost: b.org:8080\r\n" in heads and b"WARC-Refers-To-Date: 1970" in heads
+    got = warc.round_trip(spark.createDataFrame(clash, PAGES + ", sha string, best string")).collect()
+    assert sorted(str(tuple(r)) for r in got) == expected(rows)
+
+
+def test_revisits_are_resolved_by_record_id(spark, monkeypatch):
+    """Without the metadata's field the responses are found all the same."""
+    real = warc._record
+
+    def without(kind, record_id, date, uri, content_type, block, **more):
+        return real(kind, record_id, date, uri, content_type, b"".join(x for x in block.splitlines(keepends=True) if not x.startswith(b"refers-to")) if kind == "metadata" else block, **more)
+
+    monkeypatch.setattr(warc, "_record", without)
+    rows = [(i, f"http://h/{i}", f"body {i % 3}") for i in range(20)]
+    got = warc.round_trip(spark.createDataFrame(rows, PAGES).repartition(3)).collect()
+    assert sorted(str(tuple(r)) for r in got) == expected(rows)
+
+
+def test_hot_payloads_can_be_split(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.createDataFrame([(i, f"http://h/{i}", f"body {i % 3}") for i in range(20)], PAGES)
+        assert merge_joins(warc.round_trip(rows)) == [(True, True)]
+        assert merge_joins(warc.records_of(rows)) == [(True, True)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_reads_members_and_plain_files(spark, tmp_path):
     records = [warc._record("response", f"<urn:uuid:{i}>", "2025-01-01T00:00:00Z", "http://x/", "application/http; msgtype=response", b"HTTP/1.1 200 OK\r\n\r\n" + bytes([65 + i]) * (i * 700_000)) + b"\r\n\r\n" for i in range(4)]
     (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
