@@ -103,7 +103,8 @@ def find_secrets(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...]
     """(*carry, spans array<struct<kind, start, end>>) for every input row.
 
     Spans are in order of start, then of kind as listed in ``KINDS``; offsets are code points, ends
-    exclusive.  Null and empty texts have none.  Columns in ``carry`` pass through; others are ignored.
+    exclusive.  Null and empty texts have none.  Whole texts are scanned, however long; repeated rows each have their
+    spans, and spans of two base kinds may overlap.  Columns in ``carry`` pass through; others are ignored.
     """
     src = docs.select(F.col(text_col).cast("string").alias("__text"), *(F.col(c).alias(f"__c_{c}") for c in carry))
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in src.schema.fields[1:])

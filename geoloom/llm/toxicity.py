@@ -370,7 +370,9 @@ def toxicity(docs: DataFrame, field: Field, text_col: str = "text", carry: tuple
     """(*carry, score, predicted, spans) for every input row; only the text is looked at.
 
     ``spans``: code points [start, end) and marginal of each offending token.  A null text
-    counts as empty, and has the score of a text without cues.
+    counts as empty, and has the score of a text without cues.  Whole texts are scored, however long; repeated rows, and rows
+    of one id, each have their score, and equal texts the same one.  An empty table gives an empty result; columns not in
+    ``carry`` are ignored, whatever their names.
     """
     model = share(docs.sparkSession, field)
     src = docs.select(F.col(text_col).cast("string").alias("__text"), *(F.col(c).alias(f"__c_{c}") for c in carry))

@@ -490,6 +490,23 @@ def test_recall_on_random_keys(name, size):
     assert sum(found) >= (0.9 if name == "HEX" else 0.98) * len(keys)
 
 
+def test_precision_on_prose(docs_of, spark, data):
+    """No span of any kind but planted ones: those of base kinds are checked by brute force, and prose has no others."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    found = sec.find_secrets(docs, carry=("doc_id", "text")).collect()
+    assert len(found) == docs.count()
+    for r in found:
+        assert [(s.kind, s.start, s.end) for s in r.spans if s.kind != "token"] == base_brute(r.text or "")
+        assert not [r.text[s.start : s.end] for s in r.spans if s.kind == "token"]
+
+
+def test_secrets_in_long_repeated_rows(docs_of):
+    key = "xK9vQ2mZ7pLr4TtW8bNc3HjD"
+    long = "plain words " * 100_000 + key
+    got = sec.secret_digests(sec.find_secrets(docs_of([(1, long), (2, key), (2, key)]))).collect()
+    assert sorted((r.doc_id, r.spans) for r in got) == [(1, f"token:{len(long) - 24}:{len(long)}"), (2, "token:0:24"), (2, "token:0:24")]
+
+
 @pytest.mark.parametrize("name", ["test_same_as_binascii_crc32", "aVeryLongCamelCaseName2", "MAX_CONNECTION_COUNT_16", "docs/reference/chapter12/index"])
 def test_identifiers_are_no_keys(name):
     assert sec.token_spans(name, [], encoder(default_vocabulary()), 2.0) == []
@@ -511,6 +528,9 @@ def test_real_tables(spark, data):
 
     docs = spark.read.parquet(f"{data}/documents.parquet")
     lang = QUERIES["op8_language_id"](spark, data).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
+    labels = spark.read.parquet(f"{data}/labels.parquet").select("doc_id", "toxic")
+    toxic = QUERIES["op2_toxicity"](spark, data).join(labels, "doc_id").where("held_out").agg(F.avg((F.col("toxic") == F.col("predicted")).cast("int")), F.avg(F.when(F.col("toxic") == 0, 1 - F.col("predicted")))).first()
+    assert toxic[0] >= 0.9 and toxic[1] >= 0.95
     right = lang.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
     assert right >= 0.97
     assert pytest.approx(1.0, abs=0.03) == right

@@ -170,6 +170,25 @@ def test_least_squares():
         assert g < 1e-3 and (n == 0 or abs(g) < 1e-3)
 
 
+@pytest.mark.parametrize("scale", [1, 1000])
+def test_least_squares_of_a_whole_window(scale):
+    """At the query's window and tolerance the solution meets an optimum's conditions."""
+    rng = np.random.default_rng(5)
+    lengths, counts = np.unique(np.clip(rng.gamma(1.3, 250, 6000).astype(int), 1, 1023), return_counts=True)
+    target = {int(a): int(c) * scale for a, c in zip(lengths, counts, strict=True)}
+    columns = packing.combinations(list(target), 1024)
+    x = packing.nnls(columns, target)
+    left = dict(target)
+    for c, n in zip(columns, x, strict=True):
+        for a in c:
+            left[a] -= n
+    assert min(x) >= 0 and len(columns) > 20_000
+    assert all(sum(left[a] for a in c) <= 0.26 and (n == 0 or sum(left[a] for a in c) >= -0.26) for c, n in zip(columns, x, strict=True))
+    plan = packing.make_plan(target, 1024)
+    placed = sum(hi - lo for _, lo, hi, _, _ in plan.slots)
+    assert placed >= 0.8 * sum(target.values())
+
+
 def check_pieces(pieces, texts, window):
     ids = {d: np.append(encoder(default_vocabulary())(t or ""), 0).astype("<u4") for d, t in texts}
     by_doc, by_seq = {}, {}
@@ -277,3 +296,49 @@ def test_pipeline(spark, tmp_path):
     key = lambda rows: sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in rows)
     again = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sum(r.length for r in again) == sum(r.length for r in stages[4]) and {r[0] for r in key(again)} == {r[0] for r in key(stages[4])}
+
+
+def test_registered_packing(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
+    assert check_pieces(QUERIES["op1_packing"](spark, data).collect(), [(r.doc_id, r.text) for r in docs], 1024) == 0
+
+
+def test_registered_decontamination(spark, data):
+    """Against the alignment of every document with every item, for a third of the items' longest runs."""
+    from geoloom.llm import decontaminate as dec
+    from geoloom.llm.textkit import letter_bounds, word_hashes
+    from geoloom.llm.toxicity import lowered
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()}
+    hashed = lambda t: word_hashes(*letter_bounds([lowered(t.encode())])[:3])
+    texts, targets = {k: hashed(t) for k, t in docs.items()}, {k: hashed(t) for k, t in items.items()}
+    got = {(r.doc_id, r.item_id) for r in QUERIES["op5_decontaminate"](spark, data).collect()}
+    want = set()
+    for d, w in texts.items():
+        for i, x in targets.items():
+            if np.isin(x, w).sum() >= 0.5 * len(x) and dec.align(x, w)[0] >= 0.5:  # fewer words in common cannot score one half
+                want.add((d, i))
+    assert got == want
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Empty tables, null and repeated ids, null columns, very long texts, and columns beyond those of documents."""
+    import corpus_pipeline
+
+    cols = "doc_id long, text string, lang string, source string, n_chars long, fp string, score string, __text string"
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten", "a"), (2, None, None), (2, "the", "b")], "item_id long, text string, start string")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], cols).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    rng = random.Random(11)
+    say = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega", "sigma"]) for _ in range(n))
+    rows = [(i, say(40), "xx" if i % 2 else None, None, None, "a", "b", "c") for i in range(12)]
+    rows += [(None, say(50), None, None, None, None, None, None), (7, say(60), "xx", None, None, None, None, None), (90, say(60_000), "xx", "s", 1, "a", "b", "c"), (91, None, None, None, None, None, None, None)]
+    spark.createDataFrame(rows, cols).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {p.doc_id for p in pieces} == {*range(12), 90, None}
+    fill = {}
+    for p in pieces:
+        fill.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    assert all(sum(n for _, n in parts) == max(a + n for a, n in parts) for parts in fill.values())
