@@ -528,9 +528,17 @@ def test_real_tables(spark, data):
 
     docs = spark.read.parquet(f"{data}/documents.parquet")
     lang = QUERIES["op8_language_id"](spark, data).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
-    labels = spark.read.parquet(f"{data}/labels.parquet").select("doc_id", "toxic")
-    toxic = QUERIES["op2_toxicity"](spark, data).join(labels, "doc_id").where("held_out").agg(F.avg((F.col("toxic") == F.col("predicted")).cast("int")), F.avg(F.when(F.col("toxic") == 0, 1 - F.col("predicted")))).first()
-    assert toxic[0] >= 0.9 and toxic[1] >= 0.95
     right = lang.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
     assert right >= 0.97
     assert pytest.approx(1.0, abs=0.03) == right
+
+
+def test_toxicity_on_real_tables(spark, data):
+    """Held-out accuracy, and clean documents left alone; the smallest tables hold out only a handful of labels."""
+    from geoloom.llm.registry import QUERIES
+
+    folder = data.replace("sf0.001", "sf0.01")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic")
+    held = QUERIES["op2_toxicity"](spark, folder).join(labels, "doc_id").where("held_out")
+    right, clean, n = held.agg(F.avg((F.col("toxic") == F.col("predicted")).cast("int")), F.avg(F.when(F.col("toxic") == 0, 1 - F.col("predicted"))), F.count(F.lit(1))).first()
+    assert n > 100 and right >= 0.9 and clean >= 0.95
