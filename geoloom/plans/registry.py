@@ -627,7 +627,8 @@ def reverse_and_refine(spark, sf_dir):
 def json_results(spark, sf_dir):
     body = output.json_responses(_searched(spark, sf_dir).withColumnRenamed("subtype", "type"))
     get = lambda path: F.get_json_object("body", path)
-    bare = sum(F.when(get(f"$.results[{i}].gers_id").isNotNull() & ~F.contains(F.coalesce(get(f"$.results[{i}]"), F.lit("")), F.lit('"region"')), 1).otherwise(0) for i in range(3))
+    # by key: "region" is also a type
+    bare = sum(F.when(~F.array_contains(F.json_object_keys(get(f"$.results[{i}]")), "region"), 1).otherwise(0) for i in range(3))
     return body.select("query_id", F.json_array_length(get("$.results")).cast("long").alias("n"), get("$.results[0].gers_id").alias("first_id"), r6(get("$.results[0].lat").cast("double"), "first_lat"), r6(get("$.results[0].bbox[0]").cast("double"), "first_xmin"), bare.cast("long").alias("bare"))
 
 

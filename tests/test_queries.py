@@ -41,3 +41,13 @@ def test_entry(spark, data):
 
     assert __spark_entry__.entry(spark).columns
     assert set(ORACLES) <= set(__spark_entry__.queries())
+
+
+def test_json_results_tells_the_region_key_from_the_region_type(spark, monkeypatch):
+    from geoloom.plans import registry
+
+    cols = "query_id long, rank long, gers_id string, name string, subtype string, lat double, lon double, xmin double, ymin double, xmax double, ymax double, importance double, country string, region string"
+    kinds = [(1, "region", None), (2, "region", "C1-R1"), (3, '"region":', None), (4, "county", None)]
+    found = spark.createDataFrame([(7, n, f"p{n}", "x", kind, 1.0, 2.0, 0.0, 0.0, 3.0, 3.0, 0.5, "C1", region) for n, kind, region in kinds], cols)
+    monkeypatch.setattr(registry, "_searched", lambda *_: found)
+    assert [tuple(r) for r in QUERIES["json_results"](spark, "").collect()] == [(7, 4, "p1", 1.0, 0.0, 2)]
