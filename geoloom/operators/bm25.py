@@ -3,7 +3,7 @@
 The index has three tables: postings (shard_id, term, doc_id, position, doc_len), documents (shard_id, doc_id,
 doc_len) and, counted from it, shards (shard_id, docs, mean_length).  Query tokens meet postings in an equality join; a prefix token is first
 expanded over the distinct terms by an equality join on its first letters.  Only postings of query
-terms are shuffled, by (query, shard, document).
+terms are shuffled, once for all queries, as counts by shard, document and phrase.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from geoloom.functions.text import fts_tokens, index_terms, porter
 from geoloom.operators.merge import top_of
 
 PREFIX_KEY = 3
+BUCKETS = 1 << 18
 
 
 def stemmed(terms: DataFrame, column: str) -> DataFrame:
@@ -84,18 +85,46 @@ class TextIndex:
 
 
 def query_phrases(queries: DataFrame, stem: bool = False) -> DataFrame:
-    """(query_id, token, part, term, prefix, parts, tokens) from queries (query_id, text, autocomplete).
+    """(query_id, token, phrase, prefix, terms) from queries (query_id, text, autocomplete).
 
-    A token is a phrase of the index terms in it ("winston-salem" has two parts); only the last part of a
-    prefix token is a prefix.  Tokens without terms are ignored, and a query without any finds nothing.
+    A token is a phrase of the index terms in it ("winston-salem" has two); only the last term of a
+    prefix token is a prefix.  ``phrase`` writes the terms and the prefix out as one key.  Tokens without
+    terms are ignored, and a query without any finds nothing.
     """
     tokens = queries.select("query_id", F.posexplode(fts_tokens(F.col("text"), F.col("autocomplete"))).alias("token", "t"))
     phrases = tokens.select("query_id", "token", "t.prefix", index_terms(F.col("t.text")).alias("terms")).where(F.size("terms") > 0)
-    counts = phrases.groupBy("query_id").agg(F.count(F.lit(1)).alias("tokens"))
-    parts = phrases.join(counts, "query_id").select("query_id", "token", "tokens", F.size("terms").alias("parts"), "prefix", F.posexplode("terms").alias("part", "term"))
     if stem:
-        parts = stemmed(parts, "term")
-    return parts.withColumn("prefix", F.col("prefix") & (F.col("part") == F.col("parts") - 1))
+        parts = stemmed(phrases.select("query_id", "token", "prefix", F.posexplode("terms").alias("part", "term")), "term")
+        lists = parts.groupBy("query_id", "token", "prefix").agg(F.array_sort(F.collect_list(F.struct("part", "term"))).alias("parts"))
+        phrases = lists.select("query_id", "token", "prefix", F.col("parts.term").alias("terms"))
+    key = F.concat(F.concat_ws(" ", "terms"), F.when(F.col("prefix"), "*").otherwise(""))
+    return phrases.select("query_id", "token", key.alias("phrase"), "prefix", "terms")
+
+
+def in_buckets(rows: DataFrame, keys: DataFrame, columns: list[str], mark: str | None = None) -> DataFrame:
+    """The rows whose ``columns`` share a hash bucket with some of ``keys``, or all rows with ``mark`` telling which do.
+
+    The broadcast has at most ``BUCKETS`` numbers.  It keeps most other rows from a shuffle; an exact join must follow.
+    """
+    bucket = F.xxhash64(*columns).bitwiseAND(F.lit(BUCKETS - 1))  # never null: a filter for that would part the branches too
+    full = F.broadcast(keys.select(bucket.alias("__bucket")).distinct())
+    if mark:
+        return rows.join(full, bucket == F.col("__bucket"), "left").withColumn(mark, F.col("__bucket").isNotNull()).drop("__bucket")
+    # no semi-join: Spark would push it below an aggregate that several branches share
+    return rows.join(full, bucket == F.col("__bucket")).drop("__bucket")
+
+
+def frequencies(postings: DataFrame, wanted: DataFrame, place: list[str]) -> DataFrame:
+    """(shard_id, doc, doc_len, phrase, tf) for the documents that hold a phrase of ``wanted`` (phrase, parts, part, term[, shard_id])."""
+    # another name than doc_id: Spark drops an alias to the same name in some branches only, which then share no shuffle
+    postings = postings.where("shard_id IS NOT NULL").withColumnRenamed("doc_id", "doc")
+    doc = ["shard_id", "doc", "doc_len", "phrase"]
+    begin = F.when(F.col("parts") > 1, F.col("position") - F.col("part"))
+    hits = in_buckets(postings, wanted, place).join(wanted, place)
+    # parts as an aggregate: Spark would push a filter on a key below the shuffle, which both branches share
+    begun = hits.groupBy(*doc, begin.alias("begin")).agg(F.count(F.lit(1)).alias("found"), F.max("parts").alias("parts"))
+    single = begun.where("parts = 1").select(*doc, F.col("found").alias("tf"))
+    return single.unionByName(begun.where("parts > 1 AND found = parts").groupBy(*doc).agg(F.count(F.lit(1)).alias("tf")))
 
 
 def match(queries: DataFrame, index: TextIndex, prefixes: bool = True, shards: DataFrame | None = None) -> DataFrame:
@@ -103,31 +132,43 @@ def match(queries: DataFrame, index: TextIndex, prefixes: bool = True, shards: D
 
     With ``prefixes`` off no query may ask for autocompletion, and the distinct terms are not read.  With ``shards``
     (query_id, shard_id) a query reads the postings of its shards alone.
-    """
-    parts = query_phrases(queries, index.stem)
-    exact = parts.where(~F.col("prefix"))
-    loose = parts.where("prefix").withColumn("key", F.substring("term", 1, PREFIX_KEY))
-    words = index.postings.select(F.col("term").alias("word")).distinct()
-    wanted = exact
-    keyed = words.withColumn("key", F.explode(F.array_distinct(F.array(*(F.substring("word", 1, n) for n in range(1, PREFIX_KEY + 1))))))
-    expanded = loose.join(keyed, "key").where(F.startswith("word", "term")).drop("term", "key").withColumnRenamed("word", "term")
-    if prefixes:
-        wanted = exact.unionByName(expanded)
 
-    place = ["term"]
+    A phrase is counted once for all queries that ask for it.  A query then meets only documents that hold its
+    rarest phrase in the shard, each with the list of its phrases, so that nothing grows with queries times postings.
+    """
+    phrases = query_phrases(queries, index.stem)
+    asked = phrases.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("token", "phrase"))).alias("tokens")).select("query_id", F.col("tokens.phrase").alias("phrases"))
+    place, shared = ["term"], ["phrase"]
     if shards is not None:
-        wanted, place = wanted.join(shards.select("query_id", "shard_id").distinct(), "query_id"), ["shard_id", "term"]
-    hits = index.postings.join(wanted, place).select("query_id", "shard_id", "doc_id", "token", "tokens", "parts", "doc_len", (F.col("position") - F.col("part")).alias("begin"))
-    # one shuffle serves the phrase, token and document counts below, and both uses of `counted`
-    hits = hits.repartition("query_id", "shard_id", "doc_id")
-    whole = hits.groupBy("query_id", "shard_id", "doc_id", "token", "tokens", "parts", "doc_len", "begin").agg(F.count(F.lit(1)).alias("found")).where("found = parts")
-    counted = whole.groupBy("query_id", "shard_id", "doc_id", "token", "tokens", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
-
-    spread = counted.groupBy("query_id", "shard_id", "token").agg(F.count_if(F.col("tf") > 0).alias("with_term"))
-    known = spread.groupBy("query_id", "shard_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "with_term"))).alias("with_terms")).join(index.shards, "shard_id")
-    docs = counted.groupBy("query_id", "shard_id", "doc_id", "tokens", "doc_len").agg(F.collect_list(F.struct("token", "tf")).alias("found")).where(F.size("found") == F.col("tokens"))
-    part = lambda x: bm25_part(x["tf"], F.col("docs"), F.element_at("with_terms", x["token"]), F.col("doc_len"), F.col("mean_length"))
-    return docs.join(known, ["query_id", "shard_id"]).select("query_id", "shard_id", "doc_id", F.aggregate("found", F.lit(0.0), lambda acc, x: acc + part(x)).alias("bm25"))
+        chosen = shards.select("query_id", "shard_id").distinct()
+        phrases, asked = phrases.join(chosen, "query_id"), asked.join(chosen, "query_id")
+        place, shared = ["shard_id", "term"], ["shard_id", "phrase"]
+    distinct = phrases.select(*shared, "prefix", "terms").distinct()
+    parts = distinct.select(*shared, F.size("terms").alias("parts"), "prefix", F.posexplode("terms").alias("part", "term"))
+    last = F.col("prefix") & (F.col("part") == F.col("parts") - 1)
+    wanted = parts.where(~last).drop("prefix")
+    if prefixes:
+        loose = parts.where(last).withColumn("key", F.substring("term", 1, PREFIX_KEY)).drop("prefix")
+        words = index.postings.select(F.col("term").alias("word")).distinct()
+        keyed = words.withColumn("key", F.explode(F.array_distinct(F.array(*(F.substring("word", 1, n) for n in range(1, PREFIX_KEY + 1))))))
+        wanted = wanted.unionByName(loose.join(keyed, "key").where(F.startswith("word", "term")).drop("term", "key").withColumnRenamed("word", "term"))
+
+    counted = frequencies(index.postings, wanted, place)
+    # count_if and not count: all branches have to read the same columns to share the shuffle
+    spread = counted.groupBy("shard_id", "phrase").agg(F.count_if(F.col("tf") > 0).alias("with_term"))
+    needed = asked.withColumn("phrase", F.explode(F.array_distinct("phrases"))).join(spread, shared)
+    found = needed.groupBy("query_id", "shard_id", "phrases").agg(
+        F.map_from_entries(F.collect_list(F.struct("phrase", "with_term"))).alias("with_terms"), F.min(F.struct("with_term", "phrase"))["phrase"].alias("phrase")
+    )
+    known = found.where(F.size("with_terms") == F.size(F.array_distinct("phrases")))
+
+    marked = in_buckets(counted, known, ["shard_id", "phrase"], "rare")
+    docs = in_buckets(marked, marked.where("rare AND tf > 0"), ["shard_id", "doc"]).groupBy("shard_id", "doc", "doc_len")
+    lists = docs.agg(F.map_from_entries(F.collect_list(F.struct("phrase", "tf"))).alias("tfs"), F.collect_list(F.when(F.col("rare"), F.col("phrase"))).alias("rare"))
+    held = lists.select("shard_id", "doc", "doc_len", "tfs", F.map_keys("tfs").alias("held"), F.explode("rare").alias("phrase"))
+    whole = held.join(known, ["shard_id", "phrase"]).where(F.forall("phrases", lambda p: F.array_contains(F.col("held"), p))).join(index.shards, "shard_id")
+    part = lambda p: bm25_part(F.element_at("tfs", p), F.col("docs"), F.element_at("with_terms", p), F.col("doc_len"), F.col("mean_length"))
+    return whole.select("query_id", "shard_id", F.col("doc").alias("doc_id"), F.aggregate("phrases", F.lit(0.0), lambda acc, p: acc + part(p)).alias("bm25"))
 
 
 def search_text(queries: DataFrame, index: TextIndex, limit: Column | int = 10, prefixes: bool = True) -> DataFrame:

@@ -100,3 +100,32 @@ def test_index_written_and_read(spark, tmp_path):
     TextIndex.build(docs, "text", "doc_id", None).write(str(tmp_path))
     q = spark.createDataFrame([(0, "boston", False)], "query_id long, text string, autocomplete boolean")
     assert {r.doc_id for r in match(q, TextIndex.read(spark, str(tmp_path))).collect()} == {0, 3}
+
+
+def shuffled_bytes(df) -> int:
+    """Bytes that the finished plan of a collected table wrote to shuffles, shared ones once."""
+    seen, total = [df._jdf.queryExecution().executedPlan()], 0
+    while seen:
+        node = seen.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            seen.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            seen.append(node.plan())
+        elif name == "ShuffleExchangeExec":
+            total += node.metrics().apply("shuffleBytesWritten").value()
+        seen += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+def test_shuffles_do_not_grow_with_queries_times_postings(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat_ws(' ', 'common', concat('a', id % 10), concat('b', id % 300)) AS text")
+    index = TextIndex.build(docs, "text", "doc_id", None)
+
+    def asked(copies: int):
+        rows = [(10 * c + i, f"common a{i} b{10 * c + i}", False) for c in range(copies) for i in range(10)]
+        out = match(spark.createDataFrame(rows, "query_id long, text string, autocomplete boolean"), index, prefixes=False)
+        assert sorted((r.query_id, r.doc_id) for r in out.collect()) == sorted((q, d) for q, _, _ in rows for d in range(q, 3000, 300))
+        return shuffled_bytes(out)
+
+    assert asked(30) < 6 * asked(3)
