@@ -71,4 +71,9 @@ def idf(docs: Column, with_term: Column) -> Column:
 
 def bm25_part(tf: Column, docs: Column, with_term: Column, length: Column, mean_length: Column) -> Column:
     """One phrase's part of the score; ``tf`` and ``with_term`` count the phrase, all expansions of a prefix together."""
-    return -idf(docs, with_term) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean_length))
+    return weighted_part(idf(docs, with_term), tf, length, mean_length)
+
+
+def weighted_part(weight: Column, tf: Column, length: Column, mean_length: Column) -> Column:
+    """:func:`bm25_part` with the phrase's idf as it is known."""
+    return -weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean_length))

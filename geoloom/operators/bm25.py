@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.functions.score import bm25_part
+from geoloom.functions.score import bm25_part, idf, weighted_part
 from geoloom.functions.text import fts_tokens, index_terms, porter
 from geoloom.operators.merge import top_of
 
@@ -32,6 +32,8 @@ class TextIndex:
     postings: DataFrame
     documents: DataFrame
     stem: bool = False
+    #: (shard_id, doc_id, doc_len, words): the terms of each document in order; only of an index just built without stems.
+    lists: DataFrame | None = None
 
     @property
     def shards(self) -> DataFrame:
@@ -48,7 +50,7 @@ class TextIndex:
         words = sized.select("shard_id", "doc_id", "doc_len", F.posexplode("terms").alias("position", "term"))
         if stem:
             words = stemmed(words, "term")
-        return cls(words, sized.select("shard_id", "doc_id", "doc_len"), stem)
+        return cls(words, sized.select("shard_id", "doc_id", "doc_len"), stem, None if stem else sized.withColumnRenamed("terms", "words"))
 
     def without(self, ids: DataFrame) -> TextIndex:
         """The index less the documents (shard_id, doc_id) in ``ids``; ids that it does not hold change nothing."""
@@ -171,6 +173,42 @@ def match(queries: DataFrame, index: TextIndex, prefixes: bool = True, shards: D
     return whole.select("query_id", "shard_id", F.col("doc").alias("doc_id"), F.aggregate("phrases", F.lit(0.0), lambda acc, p: acc + part(p)).alias("bm25"))
 
 
+def match_few(queries: DataFrame, index: TextIndex) -> DataFrame:
+    """As :func:`match` without prefixes, for queries whose number the caller bounds, over an index just built.
+
+    The queries go to the documents by broadcasts, a row for each query and shard that can have a hit.  Each candidate,
+    found by the first terms of a query's two rarest phrases, is held against the document's own list of terms, which the
+    document's row brings along.  So no posting is shuffled; the work for a candidate grows with the document's length.
+    """
+    if index.lists is None:
+        raise ValueError("the index does not hold its documents' terms")
+    phrases = query_phrases(queries, index.stem)
+    asked = phrases.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("token", "phrase"))).alias("tokens")).select("query_id", F.col("tokens.phrase").alias("phrases"))
+    wanted = phrases.select(F.col("terms")[0].alias("term"), "phrase", "terms").distinct()
+    rows = index.lists.where("shard_id IS NOT NULL").withColumn("term", F.explode(F.array_distinct("words")))
+
+    words = F.col("words")
+    count = lambda terms: F.size(F.filter(words, lambda w, i: (w == terms[0]) & (F.slice(words, i + 1, F.size(terms)) == terms)))
+    held = lambda terms: F.array_contains(words, terms[0]) & ((F.size(terms) == 1) | (count(terms) > 0))
+    spread = rows.join(F.broadcast(wanted), "term").where(held(F.col("terms"))).groupBy("shard_id", "phrase", "terms").agg(F.count(F.lit(1)).alias("with_term"))
+    needed = asked.withColumn("phrase", F.explode(F.array_distinct("phrases"))).join(spread, "phrase")
+    found = needed.groupBy("query_id", "shard_id", "phrases").agg(F.array_sort(F.collect_list(F.struct("with_term", "phrase", "terms"))).alias("rarest"))
+    known = found.where(F.size("rarest") == F.size(F.array_distinct("phrases"))).join(index.shards, "shard_id")
+    first = F.transform("rarest", lambda r: r["terms"][0])
+    known = known.withColumns({"term": first[0], "other": F.coalesce(F.get(first, F.lit(1)), first[0])})
+    others = known.groupBy("shard_id", "term").agg(F.collect_set("other").alias("others"))
+    facts = F.map_from_entries(F.transform("rarest", lambda r: F.struct(r["phrase"], F.struct(r["terms"], idf(F.col("docs"), r["with_term"]).alias("weight")))))
+    # what is the same for all documents is computed here, once
+    known = known.withColumn("sought", F.transform("phrases", lambda p: F.element_at(facts, p))).select("query_id", "shard_id", "term", "other", "sought", "mean_length")
+
+    # by two terms of a query: by one alone, a frequent term would meet each document with it once for each query
+    both = rows.join(F.broadcast(others), ["shard_id", "term"]).withColumn("other", F.explode(F.array_intersect("others", "words"))).drop("others")
+    pairs = both.join(F.broadcast(known), ["shard_id", "term", "other"]).where(F.forall("sought", lambda r: held(r["terms"])))
+    counted = F.transform("sought", lambda r: F.struct(r["weight"].alias("weight"), count(r["terms"]).alias("tf")))
+    part = lambda r: weighted_part(r["weight"], r["tf"], F.col("doc_len"), F.col("mean_length"))
+    return pairs.select("query_id", "shard_id", "doc_id", F.aggregate(counted, F.lit(0.0), lambda acc, r: acc + part(r)).alias("bm25"))
+
+
 def search_text(queries: DataFrame, index: TextIndex, limit: Column | int = 10, prefixes: bool = True) -> DataFrame:
     """:func:`match` cut to the best ``limit`` documents of each query and shard, ties by doc_id."""
     return top_of(match(queries, index, prefixes), ["query_id", "shard_id"], [F.round("bm25", 9), F.asc("doc_id")], limit)

@@ -309,15 +309,18 @@ def search_end_to_end(spark, sf_dir):
     {bm25_sql('corpus', 'queries', False)}, {_ranked_sql('places')}
     SELECT query_id, gers_id, round(importance, 6) AS importance FROM ranked WHERE rank = 1""")
 def batch_first_hit(spark, sf_dir):
-    """Every part asks for a place by a name made of its key, and for some of a country by its size."""
+    """Every part asks for a place by a name made of its key, and for some of a country by its size.
+
+    There are 11 words, 7 nouns and 25 countries or none, so at most 2002 texts, however many parts: they and their hits are broadcast.
+    """
     p = places(spark, sf_dir).withColumn("shard_id", F.lit("ALL"))
     of = lambda values, by: F.element_at(F.array(*map(F.lit, values)), (by + 1).cast("int"))
     country = F.when(F.col("p_size") > 25, F.concat(F.lit("c"), (F.col("p_size") % 25).cast("string")))
     text = F.concat_ws(" ", of(WORDS, F.col("p_partkey") % 11), of(NOUNS, F.col("p_partkey") % 7), country)
     q = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), text.alias("text"))
     distinct = q.select(F.xxhash64("text").alias("query_id"), "text", F.lit(False).alias("autocomplete")).distinct()
-    hits = forward.first_hits(distinct, _index(p), p.drop("search_text"))
-    return q.select("query_id", F.xxhash64("text").alias("h")).join(hits.select(F.col("query_id").alias("h"), "gers_id", r6("importance")), "h").drop("h")
+    hits = forward.first_hits(distinct, _index(p), p.drop("search_text"), few=True)
+    return q.select("query_id", F.xxhash64("text").alias("h")).join(F.broadcast(hits.select(F.col("query_id").alias("h"), "gers_id", r6("importance"))), "h").drop("h")
 
 
 # --- shards ---

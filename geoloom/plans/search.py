@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions.geo import clamp
 from geoloom.functions.score import bias_boost, bias_kind, boosted_score, exact_bonus, importance
-from geoloom.operators.bm25 import TextIndex, match
+from geoloom.operators.bm25 import TextIndex, match, match_few
 from geoloom.operators.merge import first_of, limit_of, top_of
 from geoloom.operators.shards import HEAD, select_shards
 
@@ -32,14 +32,18 @@ def fetch_limit(limit: Column) -> Column:
     return F.greatest(10 * limit, F.lit(100))
 
 
-def scored_candidates(queries: DataFrame, index: TextIndex, places: DataFrame, shards: DataFrame | None = None) -> DataFrame:
-    """Candidates with importance: each query's best of each shard, or of the shards (query_id, shard_id, source_rank) given for it."""
-    hits = match(queries, index, shards=shards).withColumnRenamed("doc_id", "gers_id")
+def scored_candidates(queries: DataFrame, index: TextIndex, places: DataFrame, shards: DataFrame | None = None, few: bool = False) -> DataFrame:
+    """Candidates with importance: each query's best of each shard, or of the shards (query_id, shard_id, source_rank) given for it.
+
+    ``few`` is for a bounded number of queries over all shards, none of which asks for autocompletion: they are broadcast.
+    """
+    hits = (match_few(queries, index) if few else match(queries, index, shards=shards)).withColumnRenamed("doc_id", "gers_id")
     if shards is None:
         hits = hits.withColumn("source_rank", F.lit(0).cast("long"))
     else:
         hits = hits.join(shards.select("query_id", "shard_id", "source_rank"), ["query_id", "shard_id"])
     asked = queries.select("query_id", F.col("text").alias("query"), "limit", "bias", "bias_country", "bias_lat", "bias_lon")
+    asked = F.broadcast(asked) if few else asked
     best = top_of(hits.join(asked, "query_id"), ["query_id", "shard_id"], [F.round("bm25", 9), F.asc("gers_id")], fetch_limit(F.col("limit")), "nth")
     found = best.join(places, ["shard_id", "gers_id"])
     return found.withColumn("importance", importance(boosted_score(F.col("bm25"), F.col("population"))))
@@ -56,9 +60,9 @@ def ranked(cands: DataFrame) -> DataFrame:
     return top_of(final, ["query_id"], order, F.col("limit"))
 
 
-def search(queries: DataFrame, index: TextIndex, places: DataFrame) -> DataFrame:
-    """Ranked results of every query over all shards of the index."""
-    return ranked(scored_candidates(with_defaults(queries), index, places))
+def search(queries: DataFrame, index: TextIndex, places: DataFrame, few: bool = False) -> DataFrame:
+    """Ranked results of every query over all shards of the index; ``few`` as in :func:`scored_candidates`."""
+    return ranked(scored_candidates(with_defaults(queries), index, places, few=few))
 
 
 def query_shards(queries: DataFrame, places: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -93,6 +97,6 @@ def debug_shards(queries: DataFrame, places: DataFrame, catalog: DataFrame) -> D
     return lists.join(queries, "query_id").select("query_id", F.struct("bias_country", "bias_lat", "bias_lon", "shards").alias("debug"))
 
 
-def first_hits(queries: DataFrame, index: TextIndex, places: DataFrame) -> DataFrame:
-    """The best result of every query text; queries that find nothing are absent."""
-    return search(queries.withColumn("limit", F.lit(1)), index, places)
+def first_hits(queries: DataFrame, index: TextIndex, places: DataFrame, few: bool = False) -> DataFrame:
+    """The best result of every query text; queries that find nothing are absent; ``few`` as in :func:`scored_candidates`."""
+    return search(queries.withColumn("limit", F.lit(1)), index, places, few)

@@ -21,7 +21,8 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, n, r = (read_table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
     pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i + 1).cast("int"))
     k = F.col("c_custkey")
-    rows = c.join(n.join(r, n["n_regionkey"] == r["r_regionkey"]), c["c_nationkey"] == n["n_nationkey"]).select(
+    # one after the other: the size of a join is guessed too high for the broadcast that either gets by itself
+    rows = c.join(n, c["c_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"]).select(
         F.concat(F.lit("p"), F.lpad(k.cast("string"), 12, "0")).alias("gers_id"),
         k.alias("key"),
         F.concat_ws(" ", pick(WORDS, k % 11), pick(NOUNS, k % 7)).alias("name"),

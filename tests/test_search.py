@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from geoloom.functions.text import Porter
-from geoloom.operators.bm25 import TextIndex, match
+from geoloom.operators.bm25 import TextIndex, match, match_few
 from geoloom.operators.merge import merge_results
 from geoloom.plans import search as forward
 
@@ -129,3 +129,35 @@ def test_shuffles_do_not_grow_with_queries_times_postings(spark):
         return shuffled_bytes(out)
 
     assert asked(30) < 6 * asked(3)
+
+
+def test_few_queries_have_the_same_hits(spark):
+    # a phrase of two terms, repeated tokens and terms, several shards, and texts and queries without terms
+    texts = [*TEXTS, "salem salem winston", "winston salem winston-salem", "new new york", None]
+    docs = spark.createDataFrame([(i, t, f"s{n}") for i, t in enumerate(texts) for n in range(1 + i % 2)] + [(99, "boston", None)], "doc_id long, text string, shard_id string")
+    asked = [q for q, _ in QUERIES] + ["winston-salem winston", "new new york", "salem-salem", "boston boston", "united states", ""]
+    queries = spark.createDataFrame([(i, q, False) for i, q in enumerate(asked)], "query_id long, text string, autocomplete boolean")
+    index = TextIndex.build(docs, "text")
+    hits = lambda df: sorted((r.query_id, r.shard_id, r.doc_id, round(r.bm25, 12)) for r in df.collect())
+    want = hits(match(queries, index, prefixes=False))
+    assert hits(match_few(queries, index)) == want and len({r[0] for r in want}) > 10 and {r[1] for r in want} == {"s0", "s1"}
+    assert hits(match_few(queries.limit(0), index)) == [] == hits(match_few(queries, TextIndex.build(docs.limit(0), "text")))
+    with pytest.raises(ValueError):
+        match_few(queries, index.without(docs.limit(1)))
+
+
+def test_batch_first_hit_shuffles_no_postings(spark, data, tmp_path):
+    from geoloom.plans.registry import QUERIES as registered
+
+    customers = spark.read.parquet(f"{data}/customer.parquet").crossJoin(spark.range(200).withColumnRenamed("id", "copy"))
+    customers.withColumn("c_custkey", F.col("c_custkey") + F.col("copy") * 150).drop("copy").coalesce(2).write.parquet(f"{tmp_path}/customer.parquet")
+    for name in ("nation", "region", "part"):
+        spark.read.parquet(f"{data}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+    try:
+        out = registered["batch_first_hit"](spark, str(tmp_path))
+        assert len(out.collect()) == 200
+        assert shuffled_bytes(out) < 100 * 200 * 150  # of 30,000 customers
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
