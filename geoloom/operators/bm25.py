@@ -188,22 +188,24 @@ def match_few(queries: DataFrame, index: TextIndex) -> DataFrame:
     rows = index.lists.where("shard_id IS NOT NULL").withColumn("term", F.explode(F.array_distinct("words")))
 
     words = F.col("words")
-    count = lambda terms: F.size(F.filter(words, lambda w, i: (w == terms[0]) & (F.slice(words, i + 1, F.size(terms)) == terms)))
-    held = lambda terms: F.array_contains(words, terms[0]) & ((F.size(terms) == 1) | (count(terms) > 0))
+    begun = lambda terms: F.size(F.filter(words, lambda w, i: (w == terms[0]) & (F.slice(words, i + 1, F.size(terms)) == terms)))
+    count = lambda terms: F.when(F.size(terms) == 1, F.size(words) - F.size(F.array_remove(words, terms[0]))).otherwise(begun(terms))
+    held = lambda terms: F.array_contains(words, terms[0]) & ((F.size(terms) == 1) | (begun(terms) > 0))
     spread = rows.join(F.broadcast(wanted), "term").where(held(F.col("terms"))).groupBy("shard_id", "phrase", "terms").agg(F.count(F.lit(1)).alias("with_term"))
     needed = asked.withColumn("phrase", F.explode(F.array_distinct("phrases"))).join(spread, "phrase")
     found = needed.groupBy("query_id", "shard_id", "phrases").agg(F.array_sort(F.collect_list(F.struct("with_term", "phrase", "terms"))).alias("rarest"))
     known = found.where(F.size("rarest") == F.size(F.array_distinct("phrases"))).join(index.shards, "shard_id")
     first = F.transform("rarest", lambda r: r["terms"][0])
-    known = known.withColumns({"term": first[0], "other": F.coalesce(F.get(first, F.lit(1)), first[0])})
+    known = known.withColumns({"term": first[0], "other": F.coalesce(F.get(first, F.lit(1)), first[0]), "third": F.coalesce(F.get(first, F.lit(2)), first[0])})
     others = known.groupBy("shard_id", "term").agg(F.collect_set("other").alias("others"))
     facts = F.map_from_entries(F.transform("rarest", lambda r: F.struct(r["phrase"], F.struct(r["terms"], idf(F.col("docs"), r["with_term"]).alias("weight")))))
     # what is the same for all documents is computed here, once
-    known = known.withColumn("sought", F.transform("phrases", lambda p: F.element_at(facts, p))).select("query_id", "shard_id", "term", "other", "sought", "mean_length")
+    known = known.withColumn("sought", F.transform("phrases", lambda p: F.element_at(facts, p))).select("query_id", "shard_id", "term", "other", "third", "sought", "mean_length")
 
-    # by two terms of a query: by one alone, a frequent term would meet each document with it once for each query
+    # by two terms of a query: by one alone, a frequent term would meet each document with it once for each query; a third
+    # before all others, as that test needs no lambda
     both = rows.join(F.broadcast(others), ["shard_id", "term"]).withColumn("other", F.explode(F.array_intersect("others", "words"))).drop("others")
-    pairs = both.join(F.broadcast(known), ["shard_id", "term", "other"]).where(F.forall("sought", lambda r: held(r["terms"])))
+    pairs = both.join(F.broadcast(known), ["shard_id", "term", "other"]).where(F.array_contains("words", F.col("third"))).where(F.forall("sought", lambda r: held(r["terms"])))
     counted = F.transform("sought", lambda r: F.struct(r["weight"].alias("weight"), count(r["terms"]).alias("tf")))
     part = lambda r: weighted_part(r["weight"], r["tf"], F.col("doc_len"), F.col("mean_length"))
     return pairs.select("query_id", "shard_id", "doc_id", F.aggregate(counted, F.lit(0.0), lambda acc, r: acc + part(r)).alias("bm25"))
